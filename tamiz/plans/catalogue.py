@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tamiz.session import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from tamiz.operators.timestamps import p7_found as op
+
+    return op(table(spark, d, "evidencias"), table(spark, d, "medios"))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {"p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
