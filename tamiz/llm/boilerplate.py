@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.llm.sampling import bounded_sample
 from tamiz.llm.textutil import WORD, fold
 
 #: Pages of the sample on which word weights are fitted.
@@ -197,9 +198,9 @@ FURNITURE = -2.5
 HOLE = -2.0
 
 
-def fit(pages: DataFrame, text_col: str) -> LineModel:
+def fit(pages: DataFrame, key: str, text_col: str) -> LineModel:
     """Fit word weights on lines labelled by the grammar, over a bounded sample of ``FIT_PAGES`` pages chosen by hash."""
-    sample = pages.select(F.col(text_col).alias("t")).where(F.col("t").isNotNull()).orderBy(F.xxhash64("t")).limit(FIT_PAGES)
+    sample = bounded_sample(pages.where(F.col(text_col).isNotNull()), key, FIT_PAGES).select(F.col(text_col).alias("t"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         body: Counter[str] = Counter()
@@ -270,4 +271,4 @@ def main_body(pages: DataFrame, id_col: str, text_col: str, model: LineModel) ->
 
 def p3_found(prospectos: DataFrame) -> DataFrame:
     """(``id``, ``linea``) of the lines that are not part of the main body."""
-    return furniture_of_pages(prospectos, "id", "discurso_corporativo", fit(prospectos, "discurso_corporativo"))
+    return furniture_of_pages(prospectos, "id", "discurso_corporativo", fit(prospectos, "id", "discurso_corporativo"))

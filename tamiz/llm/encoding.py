@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.llm.sampling import bounded_sample
+
 # ---- fixed values -------------------------------------------------------------------------------------------------
 #: Code pages in which UTF-8 bytes are found to be read.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman")
@@ -186,7 +188,7 @@ class CharModel:
         return out
 
     def validate(self, texts: list[str]) -> None:
-        """Margin: above every gain that any chain reaches on held-out clean records, but for one in a thousand."""
+        """Margin: above every gain that any chain reaches on clean records, but for one in a thousand."""
         gains = [2.0]
         for t in texts:
             if t.isascii():
@@ -198,13 +200,13 @@ class CharModel:
         self.margin = max(2.0, gains[min(len(gains) - 1, int(0.999 * len(gains)))] + 0.5)
 
 
-def train(texts: DataFrame, text_col: str) -> CharModel:
-    """Train on a bounded sample (``MODEL_ROWS`` rows, chosen by hash of the text) of clean records."""
-    clean = texts.where(F.col(text_col).isNotNull() & ~F.col(text_col).rlike(SUSPICIOUS.pattern))
-    rows = clean.select(F.col(text_col).alias("t")).orderBy(F.xxhash64("t")).limit(MODEL_ROWS + VALIDATION_ROWS).collect()
-    sample = [r.t for r in rows]
-    model = CharModel(sample[VALIDATION_ROWS:] or sample or [" "])
-    model.validate(sample[:VALIDATION_ROWS])
+def train(texts: DataFrame, key: str, text_col: str) -> CharModel:
+    """Train on a bounded sample (``MODEL_ROWS`` rows and ``VALIDATION_ROWS`` held-out ones, by hash of ``key``) of clean records."""
+    rows = bounded_sample(texts.where(F.col(text_col).isNotNull()), key, MODEL_ROWS + VALIDATION_ROWS).select(F.col(text_col).alias("t")).collect()
+    sample = sorted(r.t for r in rows if not SUSPICIOUS.search(r.t))
+    held_out = sample[:: max(1, len(sample) // VALIDATION_ROWS)][:VALIDATION_ROWS]
+    model = CharModel(sample or [" "])
+    model.validate(held_out)
     return model
 
 
@@ -235,8 +237,8 @@ def repair_texts(df: DataFrame, id_col: str, text_col: str, model: CharModel) ->
 
 def p6_repaired(evidencias: DataFrame, prospectos: DataFrame) -> DataFrame:
     """Affected rows of both tables with the restored text."""
-    both = evidencias.select(F.col("cita_textual").alias("t")).unionByName(prospectos.select(F.col("discurso_corporativo").alias("t")))
-    model = train(both, "t")
+    both = evidencias.select("id", F.col("cita_textual").alias("t")).unionByName(prospectos.select("id", F.col("discurso_corporativo").alias("t")))
+    model = train(both, "id", "t")
     a = repair_texts(evidencias, "id", "cita_textual", model).withColumn("tabla", F.lit("evidencias"))
     b = repair_texts(prospectos, "id", "discurso_corporativo", model).withColumn("tabla", F.lit("prospectos"))
     return a.unionByName(b)
