@@ -29,8 +29,32 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return op(table(spark, d, "evidencias"), table(spark, d, "prospectos"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    from tamiz.llm.tokenizer import p8_ids as op
+
+    return op(table(spark, d, "documents"))
+
+
+def p9_asignacion(spark: SparkSession, d: str) -> DataFrame:
+    from tamiz.llm.packing import p9_asignacion as op
+
+    return op(table(spark, d, "documents"), table(spark, d, "capacidades"))
+
+
+def p9_resumen(spark: SparkSession, d: str) -> DataFrame:
+    from tamiz.llm.packing import p9_resumen as op
+
+    return op(table(spark, d, "documents"), table(spark, d, "capacidades"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from tamiz.llm.sentences import p10_found as op
+
+    return op(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_asignacion": p9_asignacion, "p9_resumen": p9_resumen, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
