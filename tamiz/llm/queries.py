@@ -23,6 +23,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return op(table(spark, d, "prospectos"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from tamiz.llm.batchdedup import p5_found as op
+
+    return op(table(spark, d, "evidencias"), table(spark, d, "medios"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from tamiz.llm.encoding import p6_found as op
 
@@ -54,7 +60,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_asignacion": p9_asignacion, "p9_resumen": p9_resumen, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_asignacion": p9_asignacion, "p9_resumen": p9_resumen, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
