@@ -17,6 +17,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return op(table(spark, d, "evidencias"), table(spark, d, "prospectos"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from tamiz.llm.names import p2_found as op
+
+    return op(table(spark, d, "evidencias"), table(spark, d, "prospectos"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from tamiz.llm.boilerplate import p3_found as op
 
@@ -60,7 +66,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_asignacion": p9_asignacion, "p9_resumen": p9_resumen, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_asignacion": p9_asignacion, "p9_resumen": p9_resumen, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
