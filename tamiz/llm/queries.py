@@ -29,6 +29,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return op(table(spark, d, "prospectos"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from tamiz.llm.truncation import p4_found as op
+
+    return op(table(spark, d, "evidencias"), table(spark, d, "medios"))
+
+
+def p4_tasas(spark: SparkSession, d: str) -> DataFrame:
+    from tamiz.llm.truncation import p4_tasas as op
+
+    return op(table(spark, d, "evidencias"), table(spark, d, "medios"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from tamiz.llm.batchdedup import p5_found as op
 
@@ -66,7 +78,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_asignacion": p9_asignacion, "p9_resumen": p9_resumen, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_tasas": p4_tasas, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_asignacion": p9_asignacion, "p9_resumen": p9_resumen, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
