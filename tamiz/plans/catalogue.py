@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tamiz.plans import analysis, records, temporal
 from tamiz.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+ALL = {**analysis.QUERIES, **records.QUERIES, **temporal.QUERIES}
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,8 +20,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_found": p7_found}
+    return {"p7_found": p7_found} | {name: fn for name, (fn, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
