@@ -128,3 +128,27 @@ def numbers_before(text: Column, words: str) -> Column:
     """Whole numbers that stand before one of the words (an alternation)."""
     found = F.regexp_extract_all(F.lower(text), F.lit(rf"([0-9][0-9.]*)\s+(?:{words})"), 1)
     return F.transform(found, lambda x: F.replace(x, F.lit("."), F.lit("")).try_cast("long"))
+
+
+# ---- fixed values -------------------------------------------------------------------------------------------------
+PLACEHOLDER_DOMAINS = ("example.com", "example.org", "example.net", "domain.com", "domain.org", "test.com", "test.org", "email.com", "mail.com", "yourdomain.com", "sitioweb.com")
+RESERVED_ENDINGS = ("local", "test", "invalid", "localhost", "onion", "example")
+IMAGE_ENDINGS = ("png", "jpg", "jpeg", "gif", "webp", "svg")
+# ---- end of the fixed values --------------------------------------------------------------------------------------
+
+
+def normal_mailbox(c: Column) -> Column:
+    """Mailbox in lower case, without brackets around it and punctuation after it."""
+    return F.lower(F.regexp_replace(F.trim(c), r"^[ ;:()<>'\"]+|[ ;:()<>'\",.]+$", ""))
+
+
+def mailbox_reason(c: Column) -> Column:
+    """Why a mailbox can't be used, '' if it can; the first reason counts. Null is invalid."""
+    m = normal_mailbox(c)
+    local, domain = F.split_part(m, F.lit("@"), F.lit(1)), F.split_part(m, F.lit("@"), F.lit(2))
+    ending = F.regexp_extract(domain, r"\.([^.]+)$", 1)
+    generic = F.regexp_extract(local, r"^([^._-]+|no-reply)", 1).isin(*GENERIC_MAILBOXES) | local.isin(*GENERIC_MAILBOXES)
+    return (
+        F.when(m.isNull() | ~m.rlike(r"^[^@\s]+@[a-z0-9-]+(\.[a-z0-9-]+)+$"), "sintaxis").when(domain.isin(*PLACEHOLDER_DOMAINS), "dominio_de_ejemplo").when(ending.isin(*RESERVED_ENDINGS), "terminacion_reservada")
+        .when(ending.isin(*IMAGE_ENDINGS), "imagen").when(local.rlike(r"\.\.|^\.|\.$"), "puntos").when(local.rlike(r"^[^a-z]"), "inicio").when(generic, "generico").otherwise("")
+    )
