@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.plans import analysis, records, temporal
+from tamiz.plans import analysis, more, records, temporal
 from tamiz.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = {**analysis.QUERIES, **records.QUERIES, **temporal.QUERIES}
+ALL = {**analysis.QUERIES, **records.QUERIES, **temporal.QUERIES, **more.QUERIES}
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
