@@ -86,3 +86,16 @@ def contract_status(df: DataFrame) -> Column:
         .when(~F.col("fecha_publicacion").rlike(ISO), "fecha_publicacion_no_iso8601")
         .otherwise("ok")
     )
+
+
+def discourse_hits(text: Column, framework: dict[str, tuple[str, ...]] = L.DISCOURSE) -> Column:
+    """Types of discourse with the number of markers each has, most first, ties in the framework's order; empty for null."""
+    def of(t: Column) -> Column:
+        count = lambda ms: F.size(F.filter(F.array(*[F.lit(m) for m in ms]), lambda m: F.contains(t, m)))
+        each = F.array(*[F.struct((-count(ms)).alias("orden"), F.lit(k).alias("posicion"), F.lit(kind).alias("tipo")) for k, (kind, ms) in enumerate(framework.items())])
+        hits = F.filter(F.array_sort(each), lambda x: x["orden"] < 0)
+        return F.transform(hits, lambda x: F.struct(x["tipo"].alias("tipo"), (-x["orden"]).cast("long").alias("marcas")))
+
+    # the folded text is worked out once per row, not once per marker
+    folded = F.array(F.lower(strip_accents(F.coalesce(text, F.lit("")))))
+    return F.get(F.transform(folded, of), F.lit(0))

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from tamiz import lexicon as L
 from tamiz.functions import text as T
+from tamiz.operators import tagging as G
+from tamiz.operators.drift import pairs
 from tamiz.plans.analysis import battery, build
 from tamiz.plans.base import DOSSIERS, ITEMS, VALIDATED, items, quoted
 from tamiz.session import table
@@ -90,10 +94,81 @@ def revenue_share(spark, d):
     return o.withColumn("c", cents).cube("c_mktsegment", "o_orderpriority").agg(F.grouping_id().alias("nivel"), F.sum("c").alias("centavos"), F.count("*").alias("n"))
 
 
+def discourse(spark, d):
+    """The leading type of discourse of each corporate text, and how many markers it has."""
+    h = F.try_element_at(G.discourse_hits(F.col("discurso_corporativo")), F.lit(1))
+    return table(spark, d, "prospectos").select("id", F.coalesce(h["tipo"], F.lit("requiere_campo")).alias("tipo"), F.coalesce(h["marcas"], F.lit(0).cast("long")).alias("marcas"))
+
+
+def discourse_types(spark, d):
+    h = table(spark, d, "prospectos").select(F.explode(G.discourse_hits(F.col("discurso_corporativo"))).alias("h"))
+    return h.groupBy(F.col("h.tipo").alias("tipo")).agg(F.count("*").alias("n"), F.sum("h.marcas").alias("marcas"))
+
+
+def actors(spark, d):
+    """People and their roles in each organisation's evidence."""
+    e = table(spark, d, "evidencias").where("persona_citada is not null")
+    org, who = T.company_key(F.col("empresa_mencionada")), F.lower(T.collapse(F.col("persona_citada")))
+    return e.select(org.alias("org"), who.alias("persona"), F.coalesce("cargo", F.lit("")).alias("cargo"), "id").groupBy("org", "persona", "cargo").agg(F.min("id").alias("primera"), F.count("*").alias("n"))
+
+
+def field_changes(spark, d):
+    """Fields that differ between consecutive rows of one name, as (name, id, field, before, after)."""
+    w = W.partitionBy("nombre").orderBy("id")
+    fields = ("vertical", "sitio_web", "linkedin", "escala")
+    p = table(spark, d, "prospectos").select("nombre", "id", *[F.struct(F.lit(f).alias("campo"), F.lag(f).over(w).alias("antes"), F.col(f).alias("despues")).alias(f) for f in fields], F.lag("id").over(w).alias("previo"))
+    changed = F.filter(F.array(*fields), lambda x: ~x["antes"].eqNullSafe(x["despues"]))
+    return p.where("previo is not null").select("nombre", "id", F.explode(changed).alias("x")).select("nombre", "id", "x.campo", "x.antes", "x.despues")
+
+
+def narrative_overlap(spark, d):
+    """Overlap of the words longer than three letters of each capture with those of the one before, in thousandths."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), " "), lambda x: F.length(x) > 3))
+    p = pairs(table(spark, d, "drift_snapshots")).select("id", words(F.col("anterior")).alias("a"), words(F.col("texto")).alias("b"))
+    u = F.size(F.array_union("a", "b"))
+    return p.select("id", F.when(u == 0, 1000).otherwise(F.floor(F.size(F.array_intersect("a", "b")) * 1000 / F.greatest(u, F.lit(1)))).cast("long").alias("milesimas"))
+
+
+def tag_directory(spark, d):
+    """For each signal: how many organisations have it, and the first and last of them by name."""
+    return build(spark, d).select("org", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"), F.min("org").alias("primera"), F.max("org").alias("ultima"))
+
+
+def continuity(spark, d):
+    """Continuity of each organisation's presence, 0 to 100, from items and sources."""
+    i = items(spark, d).where("org is not null").groupBy("org").agg(F.count("*").alias("n"), F.count_distinct("fuente").alias("f"))
+    p = F.least(F.lit(100), 40 + 10 * F.least("n", F.lit(4)) + 5 * F.least("f", F.lit(3))).cast("long")
+    return i.select("org", p.alias("puntos"), F.when(p >= 80, "continua").when(p >= 60, "parcial").otherwise("debil").alias("banda"))
+
+
+def relaxation(spark, d):
+    """Entities for a request by vertical and category, relaxed to the vertical alone, then to all; the level that was needed."""
+    p = table(spark, d, "prospectos")
+    level = F.when((F.col("vertical") == "fintech") & (F.col("categoria") == "VC"), 0).when(F.col("vertical") == "fintech", 1).otherwise(2)
+    tagged = p.select("id", level.cast("long").alias("nivel"))
+    least = tagged.agg(F.min("nivel").alias("m")).first()
+    return tagged.where(F.col("nivel") == F.lit(least.m if least.m is not None else 2))
+
+
 _url = "lower(trim(regexp_replace(coalesce(empresa_mencionada, ''), '\\s+', ' ', 'g')))"
 _places = "(VALUES ('bogota'), ('sao paulo'), ('mexico'), ('cordoba'), ('lima')) p(lugar)"
 _generic = quoted(T.GENERIC_MAILBOXES)
+_disc = "lower(strip_accents(discurso_corporativo))"
+_hits = "[" + ", ".join("struct_pack(n := " + " + ".join(f"CAST(contains({_disc}, '{m}') AS BIGINT)" for m in ms) + f", k := {k}, tipo := '{kind}')" for k, (kind, ms) in enumerate(L.DISCOURSE.items())) + "]"
+_hits_sql = f"WITH h AS (SELECT id, unnest({_hits}) AS h FROM prospectos), x AS (SELECT id, h.n AS n, h.k AS k, h.tipo AS tipo FROM h WHERE h.n > 0)"
+_words = "list_distinct(list_filter(string_split(lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))), ' '), lambda x: length(x) > 3))"
+_fields = " UNION ALL ".join(f"SELECT nombre, id, '{f}' AS campo, lag({f}) OVER w AS antes, {f} AS despues, lag(id) OVER w AS previo FROM prospectos WINDOW w AS (PARTITION BY nombre ORDER BY id)" for f in ("vertical", "sitio_web", "linkedin", "escala"))
 QUERIES = {
+    "discourse_leading": (discourse, f"{_hits_sql}, b AS (SELECT id, tipo, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, k) AS r FROM x) WHERE r = 1) SELECT p.id, coalesce(b.tipo, 'requiere_campo') AS tipo, coalesce(b.n, 0) AS marcas FROM prospectos p LEFT JOIN b ON b.id = p.id"),
+    "discourse_types": (discourse_types, f"{_hits_sql} SELECT tipo, count(*) AS n, CAST(sum(n) AS BIGINT) AS marcas FROM x GROUP BY 1"),
+    "actors": (actors, f"SELECT {_url} AS org, lower(trim(regexp_replace(persona_citada, '\\s+', ' ', 'g'))) AS persona, coalesce(cargo, '') AS cargo, min(id) AS primera, count(*) AS n FROM evidencias WHERE persona_citada IS NOT NULL GROUP BY 1, 2, 3"),
+    "field_changes": (field_changes, f"SELECT nombre, id, campo, antes, despues FROM ({_fields}) WHERE previo IS NOT NULL AND antes IS DISTINCT FROM despues"),
+    "narrative_overlap": (narrative_overlap, f"""WITH s AS (SELECT *, last_value(CASE WHEN estado_observable = 'ok' THEN texto END IGNORE NULLS) OVER (PARTITION BY org_nombre, tipo_pagina ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anterior FROM drift_snapshots),
+        p AS (SELECT id, {_words.format(c='anterior')} AS a, {_words.format(c='texto')} AS b FROM s WHERE estado_observable = 'ok' AND anterior IS NOT NULL)
+        SELECT id, CAST(CASE WHEN len(list_distinct(a || b)) = 0 THEN 1000 ELSE floor(len(list_intersect(a, b)) * 1000 / len(list_distinct(a || b))) END AS BIGINT) AS milesimas FROM p"""),
+    "tag_directory": (tag_directory, f"WITH {DOSSIERS} SELECT tag, count(*) AS n, min(org) AS primera, max(org) AS ultima FROM (SELECT org, unnest(tags) AS tag FROM d) GROUP BY 1"),
+    "continuity": (continuity, f"WITH {ITEMS}, c AS (SELECT org, CAST(least(100, 40 + 10 * least(count(*), 4) + 5 * least(count(DISTINCT fuente), 3)) AS BIGINT) AS puntos FROM items WHERE org IS NOT NULL GROUP BY 1) SELECT org, puntos, CASE WHEN puntos >= 80 THEN 'continua' WHEN puntos >= 60 THEN 'parcial' ELSE 'debil' END AS banda FROM c"),
+    "relaxation_cascade": (relaxation, "WITH t AS (SELECT id, CAST(CASE WHEN vertical = 'fintech' AND categoria = 'VC' THEN 0 WHEN vertical = 'fintech' THEN 1 ELSE 2 END AS BIGINT) AS nivel FROM prospectos) SELECT id, nivel FROM t WHERE nivel = (SELECT min(nivel) FROM t)"),
     "shared_hashes": (shared_hashes, f"SELECT hash_dedup, count(DISTINCT {_url}) AS organizaciones, count(*) AS n FROM evidencias GROUP BY 1 HAVING count(DISTINCT {_url}) >= 2"),
     "mentions_by_place": (mentions_by_place, f"SELECT lugar, count(DISTINCT {_url}) AS organizaciones, count(*) AS citas FROM evidencias, {_places} WHERE contains(lower(strip_accents(cita_textual)), lugar) GROUP BY 1"),
     "findings_top_tags": (findings, f"WITH {DOSSIERS}, t AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM d) GROUP BY 1 ORDER BY n DESC, tag LIMIT 5) SELECT tag, n, CAST(floor(n * 1000 / (SELECT count(*) FROM d)) AS BIGINT) AS milesimas FROM t"),
