@@ -79,7 +79,7 @@ def test_repeats_equal_brute_force_and_batches(spark, tmp_path):
     rows = statements(random.Random(4), 160) + [(900, "x", None), (901, "x", ""), (902, None, None), (903, None, "Error 404: Page not found"), (904, None, "Error 404: Page not found")]
     df = spark.createDataFrame(rows, "id long, hash_dedup string, cita_textual string").withColumn("clase", F.lit("clash"))
     outlets = frozenset({"el diario"})
-    common = D.common_words(df, "id", "cita_textual")
+    common = D.common_words(df, "cita_textual")
     want = brute([r for r in rows if r[0] < 903], outlets, common)
     assert {(r.id_a, r.id_b) for r in D.find_repeats(df, outlets).collect()} == want
     index = D.AcceptedIndex(spark, str(tmp_path / "a"), outlets, common)
