@@ -9,10 +9,14 @@ from tamiz import lexicon as L
 from tamiz.functions.text import contains_any, strip_accents
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once per row, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tags(text: Column, signals: dict[str, tuple[str, ...]] = L.SIGNALS) -> Column:
     """Signals whose phrases the text contains, in order of the vocabulary; accents count. Empty for null."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(contains_any(low, phrases), F.lit(tag)) for tag, phrases in signals.items()]))
+    return once(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(contains_any(low, phrases), F.lit(tag)) for tag, phrases in signals.items()])))
 
 
 def named_source(outlet: Column) -> Column:
@@ -51,20 +55,23 @@ def rule_alert(text: Column, rules: dict[str, tuple[float, tuple[str, ...]]] = L
 
 def relevance(title: Column, has_event: Column, has_company: Column, need_event: bool = True) -> Column:
     """Reason for dropping a headline; '' if it is kept. The order of the rules decides the reason."""
-    t = F.lower(strip_accents(title))
-    opinion = contains_any(t, L.OPINION_MARKS) | F.coalesce(t.rlike(L.LIST_TITLE), F.lit(False))
-    chain = (
-        F.when(opinion, "relevancia:opinion")
-        .when(contains_any(t, L.FOREIGN), "relevancia:no_latam")
-        .when(contains_any(t, L.NOT_A_COMPANY) | F.coalesce(t.rlike(L.REPORT_TITLE), F.lit(False)), "relevancia:no_empresa")
-        .when(contains_any(t, L.MEDIA_NOISE), "relevancia:ruido_mediatico")
-        .when(contains_any(t, L.GIANTS), "relevancia:gigante")
-        .when(contains_any(t, L.SHALLOW_EVENTS), "relevancia:sin_profundidad_estructural")
-        .when(~has_company, "relevancia:sin_empresa")
-    )
-    if need_event:
-        chain = chain.when(~has_event, "relevancia:sin_evento")
-    return chain.otherwise("")
+
+    def of(t: Column) -> Column:
+        opinion = contains_any(t, L.OPINION_MARKS) | F.coalesce(t.rlike(L.LIST_TITLE), F.lit(False))
+        chain = (
+            F.when(opinion, "relevancia:opinion")
+            .when(contains_any(t, L.FOREIGN), "relevancia:no_latam")
+            .when(contains_any(t, L.NOT_A_COMPANY) | F.coalesce(t.rlike(L.REPORT_TITLE), F.lit(False)), "relevancia:no_empresa")
+            .when(contains_any(t, L.MEDIA_NOISE), "relevancia:ruido_mediatico")
+            .when(contains_any(t, L.GIANTS), "relevancia:gigante")
+            .when(contains_any(t, L.SHALLOW_EVENTS), "relevancia:sin_profundidad_estructural")
+            .when(~has_company, "relevancia:sin_empresa")
+        )
+        if need_event:
+            chain = chain.when(~has_event, "relevancia:sin_evento")
+        return chain.otherwise("")
+
+    return once(F.lower(strip_accents(title)), of)
 
 
 ISO = r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])([T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
@@ -96,6 +103,4 @@ def discourse_hits(text: Column, framework: dict[str, tuple[str, ...]] = L.DISCO
         hits = F.filter(F.array_sort(each), lambda x: x["orden"] < 0)
         return F.transform(hits, lambda x: F.struct(x["tipo"].alias("tipo"), (-x["orden"]).cast("long").alias("marcas")))
 
-    # the folded text is worked out once per row, not once per marker
-    folded = F.array(F.lower(strip_accents(F.coalesce(text, F.lit("")))))
-    return F.get(F.transform(folded, of), F.lit(0))
+    return once(F.lower(strip_accents(F.coalesce(text, F.lit("")))), of)
