@@ -5,6 +5,9 @@ and spacing folded). Equal forms are one class, found by aggregation. The classe
 forest: for each of ``TREES`` permutation families a statement has a label of minimum hashes over its telling words
 (figures, names and other words that aren't common); labels are kept sorted, so that the entries near a batch entry are those in the range
 of its label's prefix. The prefix is as short as the recall target for the least similarity asks (``prefix_depth``).
+Slips and damaged letters make telling words differ, which weighs most in short labels; so each statement also has exact
+keys, the figures with each few of its other telling words (``exact_keys``), and statements with hardly any telling words
+are in trees over all their words, too, with the depth for ``SAME_WORDS``.
 Every candidate is verified: figures in the same order, the same names (up to damaged letters and one typing slip), and
 most of the other words. Rows arrive in order of ``id``; a row is accepted unless it repeats an accepted one.
 
@@ -20,11 +23,13 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tamiz.llm.encoding import repair
 from tamiz.llm.residue import is_residue_quote
@@ -36,6 +41,12 @@ TREES, LABEL = 8, 8
 SIMILARITY, RECALL = 0.8, 0.95
 #: Least share of words that two forms have in common (multiset Jaccard).
 SAME_WORDS = 0.6
+#: Telling words of an exact key: so many, for statements with that many telling words besides figures (least, most).
+EXACT = ((1, 1, 3), (2, 2, 4), (3, 3, 1 << 30))
+#: So many telling words of a longer statement may be missing from the other one, and an exact key is still shared.
+MISSING = 3
+#: Statements with so many telling words besides figures at most are in the trees over all words.
+FEW = 2
 #: Least share of the rows that have a common word in lower case.
 COMMON_SHARE = 1e-5
 #: Least share of lower case among the occurrences of a common word (a word may often begin sentences or names).
@@ -82,9 +93,24 @@ def normal_form(text: str | None, outlets: frozenset[str]) -> str:
 
 
 def telling_words(words: list[str], common: frozenset[str]) -> list[str]:
-    """Figures (with their order), names and rare words; all words if there are fewer than three such."""
-    out = [w for w in words if w not in common and "�" not in w]
-    return out if len(out) >= 3 else words
+    """Figures, names and rare words without damaged letters; all words if there are none."""
+    return [w for w in words if w not in common and "�" not in w] or words
+
+
+def names_of(form: str, common: frozenset[str]) -> set[str]:
+    """The telling words of a normal form besides figures; may be empty."""
+    return {w for w in form.split(" ") if w not in common and "�" not in w and not w[:1].isdigit()}
+
+
+def exact_keys(form: str, common: frozenset[str]) -> list[int]:
+    """Hashes of the subsets of telling words besides figures under which a statement is looked up exactly.
+
+    Of two statements with the same figures, one such key is shared if at most one of two, two of three to five, or
+    ``MISSING`` of more telling words are missing from the other one, on either side: taken in one order, the first three
+    that they share stand among the first three and ``MISSING`` of both.
+    """
+    h = sorted((c ^ (c >> 15)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for c in (zlib.crc32(w.encode()) for w in names_of(form, common)))
+    return [sum(x) * 0xD6E8FEB86659FD93 + size & 0xFFFFFFFFFFFFFFFF for size, least, most in EXACT if least <= len(h) <= most for x in combinations(h[: size + MISSING], size)]
 
 
 def label_matrix(forms: list[str], common: frozenset[str]) -> np.ndarray:
@@ -197,17 +223,28 @@ def forest(classes: DataFrame, common: frozenset[str]) -> DataFrame:
     """The forest's entries: (``arbol``, ``cifras``, ``etiqueta`` as hexadecimal digits, ``clase``), one per tree and class.
 
     The figures' key stands before the label, so that the range of a prefix holds only entries with the same figures.
+    The trees over all words follow those over telling words; tree -1 has the exact keys.
     """
+    short = prefix_depth(SAME_WORDS)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text = [x.tobytes().hex() for m in label_matrix(pdf["forma"].tolist(), common).astype(">u2") for x in m]
-            figures = np.repeat(np.array([figures_key(f) for f in pdf["forma"]], dtype=np.int64), TREES)
-            yield pd.DataFrame({"arbol": np.tile(np.arange(TREES, dtype=np.int32), len(pdf)), "cifras": figures, "etiqueta": text, "clase": np.repeat(pdf["clase"].to_numpy(), TREES)})
+            texts = pdf["forma"].tolist()
+            rows = []
+            few = [k for k, f in enumerate(texts) if len(names_of(f, common)) <= FEW]
+            for at, first, m in ((range(len(texts)), 0, label_matrix(texts, common)), (few, TREES, label_matrix([texts[k] for k in few], _NONE)[:, :, :short])):
+                for k, labels in zip(at, m.astype(">u2"), strict=True):
+                    rows += [(first + t, figures_key(texts[k]), x.tobytes().hex(), pdf["clase"].iloc[k]) for t, x in enumerate(labels)]
+            for f, c in zip(texts, pdf["clase"], strict=True):
+                rows += [(-1, figures_key(f), f"{x:016x}", c) for x in exact_keys(f, common)]
+            yield pd.DataFrame(rows, columns=["arbol", "cifras", "etiqueta", "clase"])
 
     return classes.select("clase", "forma").mapInPandas(scan, FOREST)
 
 
+_NONE: frozenset[str] = frozenset()
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, common: frozenset[str]) -> DataFrame:
     """Of (``a``, ``b``) class pairs those that are the same statement."""
     one = classes.select(F.col("clase").alias("a"), F.col("forma").alias("fa"))
@@ -223,19 +260,31 @@ def _verified(pairs: DataFrame, classes: DataFrame, common: frozenset[str]) -> D
 
 def forest_keys(classes: DataFrame, common: frozenset[str]) -> DataFrame:
     """(``k``, ``clase``): the forest's entries with tree, figures and the label's prefix in one number, for the search over all classes."""
-    depth = prefix_depth()
+    depth, short = prefix_depth(), prefix_depth(SAME_WORDS)
+
+    def numbers(figures: np.ndarray, first: int, m: np.ndarray) -> np.ndarray:
+        k = figures[:, None] * np.uint64(2 * TREES + 1) + np.arange(first, first + TREES, dtype=np.uint64)[None, :]
+        with np.errstate(over="ignore"):
+            for j in range(m.shape[2]):
+                k = (k ^ m[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+                k ^= k >> np.uint64(29)
+        return k.reshape(-1)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            m = label_matrix(pdf["forma"].tolist(), common)[:, :, :depth].astype(np.uint64)
-            k = np.array([figures_key(f) for f in pdf["forma"]], dtype=np.uint64)[:, None] * np.uint64(TREES) + np.arange(TREES, dtype=np.uint64)[None, :]
+            texts, ids = pdf["forma"].tolist(), pdf["clase"].to_numpy()
+            figures = np.array([figures_key(f) for f in texts], dtype=np.uint64)
+            few = np.array([k for k, f in enumerate(texts) if len(names_of(f, common)) <= FEW], dtype=np.int64)
+            trees = numbers(figures, 0, label_matrix(texts, common)[:, :, :depth].astype(np.uint64))
+            more = numbers(figures[few], TREES, label_matrix([texts[k] for k in few], _NONE)[:, :, :short].astype(np.uint64))
+            exact = [exact_keys(f, common) for f in texts]
+            sizes = [len(x) for x in exact]
             with np.errstate(over="ignore"):
-                for j in range(depth):
-                    k = (k ^ m[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
-                    k ^= k >> np.uint64(29)
-            yield pd.DataFrame({"k": k.reshape(-1).view(np.int64), "clase": np.repeat(pdf["clase"].to_numpy(), TREES)})
+                e = (np.array([y for x in exact for y in x], dtype=np.uint64) ^ np.repeat(figures * np.uint64(2 * TREES + 1) + np.uint64(2 * TREES), sizes)) * np.uint64(0x9E3779B97F4A7C15)
+            e ^= e >> np.uint64(29)
+            yield pd.DataFrame({"k": np.concatenate([trees, more, e]).view(np.int64), "clase": np.concatenate([np.repeat(ids, TREES), np.repeat(ids[few], TREES), np.repeat(ids, sizes)])})
 
     return classes.select("clase", "forma").mapInPandas(scan, "k long, clase long")
 
@@ -243,7 +292,8 @@ def forest_keys(classes: DataFrame, common: frozenset[str]) -> DataFrame:
 def near_classes(classes: DataFrame, common: frozenset[str]) -> DataFrame:
     """Links (``a`` < ``b``) between classes that are forms of one statement."""
     keys = forest_keys(classes.where("forma <> ''"), common)
-    keys = cut(keys.join(keys.groupBy("k").agg(F.count("*").alias("n"), F.min("clase").alias("guia")).where("n > 1"), "k"))
+    own = W.partitionBy("k")
+    keys = cut(keys.select("k", "clase", F.count("*").over(own).alias("n"), F.min("clase").over(own).alias("guia")).where("n > 1"))
     small = keys.where(F.col("n") <= PAIRWISE).select("k", "clase")
     left, right = small.select("k", F.col("clase").alias("a")), small.select("k", F.col("clase").alias("b"))
     links = _verified(left.join(right, "k").where("a < b").select("a", "b").distinct(), classes, common)

@@ -100,6 +100,30 @@ def test_large_candidate_groups_are_exact(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in D.find_repeats(df, frozenset({"el diario"})).collect()} == want
 
 
+def damaged(rng, words, n):
+    """``words`` with ``n`` of them mistyped or damaged."""
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        w = out[k]
+        at = rng.randrange(1, len(w) - 1)
+        out[k] = rng.choice([w[:at] + w[at + 1 :], w[:at] + "q" + w[at:], w[:at] + "q" + w[at + 1 :], w[:at] + "�" + w[at + 1 :]])
+    return out
+
+
+def test_short_labels_with_slips_equal_brute_force(spark):
+    rng = random.Random(3)
+    common = frozenset("la el de en que pide mientras".split())
+    rows = []
+    for k in range(240):
+        names = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(2 + k % 7)]
+        words = lambda names, k=k: ["la", *names, "pide", "en", "el", str(k % 5), *(["de", "que", "mientras"] if len(names) < 3 else [])]
+        other = damaged(rng, names, 1 if len(names) < 3 else 2 if len(names) < 6 else 3)
+        rows += [(2 * k, " ".join(words(names))), (2 * k + 1, " ".join(words(other)))]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and D.same_statement(x, y, common)}
+    classes = spark.createDataFrame(rows, "clase long, forma string")
+    assert len(want) >= 230 and {(r.a, r.b) for r in D.near_classes(classes, common).collect()} == want
+
+
 def test_prefix_depth_meets_recall():
     d = D.prefix_depth()
     assert 1 - (1 - D.SIMILARITY**d) ** D.TREES >= D.RECALL
