@@ -51,7 +51,7 @@ FEW = 2
 COMMON_SHARE = 1e-5
 #: Least share of lower case among the occurrences of a common word (a word may often begin sentences or names).
 LOWER_SHARE = 0.002
-#: Groups of candidates up to this size are compared pairwise; larger ones against their leaders, round by round.
+#: Groups of candidates up to this size are compared pairwise; larger ones against their leaders, round by round, then against what was accepted.
 PAIRWISE = 64
 FOREST = "arbol int, cifras long, etiqueta string, clase long"
 
@@ -289,23 +289,57 @@ def forest_keys(classes: DataFrame, common: frozenset[str]) -> DataFrame:
     return classes.select("clase", "forma").mapInPandas(scan, "k long, clase long")
 
 
-def near_classes(classes: DataFrame, common: frozenset[str]) -> DataFrame:
-    """Links (``a`` < ``b``) between classes that are forms of one statement."""
+def near_classes(classes: DataFrame, common: frozenset[str]) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Links (``a`` < ``b``) between classes that are forms of one statement; all there are in groups up to ``PAIRWISE``.
+
+    Larger groups are compared with their leaders here, twice as many each round, and returned (``k``, ``clase``) with the
+    pairs that were compared, for ``settled``; None and None if there are no such groups.
+    """
     keys = forest_keys(classes.where("forma <> ''"), common)
     own = W.partitionBy("k")
-    keys = cut(keys.select("k", "clase", F.count("*").over(own).alias("n"), F.min("clase").over(own).alias("guia")).where("n > 1"))
+    keys = cut(keys.select("k", "clase", F.count("*").over(own).alias("n")).where("n > 1"))
     small = keys.where(F.col("n") <= PAIRWISE).select("k", "clase")
     left, right = small.select("k", F.col("clase").alias("a")), small.select("k", F.col("clase").alias("b"))
     links = _verified(left.join(right, "k").where("a < b").select("a", "b").distinct(), classes, common)
-    rest = keys.where(F.col("n") > PAIRWISE).select("k", "clase", "guia")
+    large = keys.where(F.col("n") > PAIRWISE).select("k", "clase")
+    if large.isEmpty():
+        return links.distinct(), None, None
+    rest, tested, leaders = large, None, 1
     while not rest.isEmpty():
-        # each member against its group's leader; the group goes on without the leader and what it took
-        found = cut(_verified(rest.where("clase <> guia").select(F.col("guia").alias("a"), F.col("clase").alias("b")).distinct(), classes, common))
+        # each member against its group's leaders; the group goes on without the leaders and what they took
+        ranked = cut(rest.withColumn("r", F.row_number().over(own.orderBy("clase"))))
+        first = ranked.where(F.col("r") <= leaders).select("k", F.col("clase").alias("a"))
+        pairs = cut(first.join(ranked.select("k", F.col("clase").alias("b")), "k").where("a < b"))
+        asked = pairs.select("a", "b").distinct()
+        tested = asked if tested is None else tested.unionByName(asked)
+        found = cut(_verified(asked, classes, common))
         links = links.unionByName(found)
-        taken = found.select(F.col("a").alias("guia"), F.col("b").alias("clase"))
-        rest = rest.where("clase <> guia").join(taken, ["guia", "clase"], "left_anti").select("k", "clase")
-        rest = cut(rest.join(rest.groupBy("k").agg(F.count("*").alias("n"), F.min("clase").alias("guia")).where("n > 1").drop("n"), "k").select("k", "clase", "guia"))
-    return links.distinct()
+        taken = pairs.join(found, ["a", "b"], "left_semi").select("k", F.col("b").alias("clase")).distinct()
+        rest = cut(ranked.where(F.col("r") > leaders).select("k", "clase").join(taken, ["k", "clase"], "left_anti"))
+        leaders *= 2
+    return links.distinct(), large, tested.distinct()
+
+
+def settled(rows: DataFrame, classes: DataFrame, common: frozenset[str], links: DataFrame, large: DataFrame | None, tested: DataFrame | None) -> DataFrame:
+    """What ``_accept`` gives with all links of the large groups, too, though only those to accepted rows are looked for.
+
+    After each acceptance the classes of accepted rows are compared with all members of their large groups; new links may
+    change what is accepted. When none is new, every link that acceptance or the result asks for is known.
+    """
+    found = _accept(rows, links)
+    while large is not None:
+        found = cut(found)
+        kept = rows.join(found.select(F.col("id_b").alias("id")).distinct(), "id", "left_anti").select("clase").distinct()
+        one = large.join(kept, "clase").select("k", F.col("clase").alias("x"))
+        pairs = one.join(large, "k").where("x <> clase").select(F.least("x", "clase").alias("a"), F.greatest("x", "clase").alias("b")).distinct()
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        new = cut(_verified(pairs, classes, common))
+        if new.isEmpty():
+            break
+        tested = cut(tested.unionByName(pairs))
+        links = cut(links.unionByName(new).distinct())
+        found = _accept(rows, links)
+    return found
 
 
 def _accept(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -368,8 +402,8 @@ def find_repeats(rows: DataFrame, outlets: frozenset[str]) -> DataFrame:
     f = cut(forms(rows, outlets))
     named, classes = classes_of(f)
     named, classes = cut(named), cut(classes)
-    links = cut(near_classes(classes, common))
-    return _accept(named_rows(f, named), links)
+    links, large, tested = near_classes(classes, common)
+    return settled(named_rows(f, named), classes, common, cut(links), large, tested)
 
 
 class AcceptedIndex:
@@ -405,12 +439,13 @@ class AcceptedIndex:
         hit = old.where("forma <> ''").join(near, "clase").select("clase", "forma", "nueva")
         pool = fresh.unionByName(hit.select("clase", "forma").distinct()).dropDuplicates(["clase"])
         outside = _verified(hit.select(F.col("clase").alias("a"), F.col("nueva").alias("b")).distinct(), pool, self.common)
-        links = cut(outside.unionByName(near_classes(fresh, self.common)).distinct())
+        inside, large, tested = near_classes(fresh, self.common)
+        links = cut(outside.unionByName(inside).distinct())
         same_hash = new.where("hash_dedup is not null").select("hash_dedup").distinct()
         touched = old.join(same_hash, "hash_dedup", "left_semi").unionByName(old.join(hit.select("clase").distinct(), "clase", "left_semi").select(*old.columns))
         touched = touched.dropDuplicates(["id"]).select("id", "hash_dedup", "clase")
         named = named_rows(new, named)
-        found = cut(_accept(touched.unionByName(named), links).join(new.select(F.col("id").alias("id_b")), "id_b").select("id_a", "id_b"))
+        found = cut(settled(touched.unionByName(named), fresh, self.common, links, large, tested).join(new.select(F.col("id").alias("id_b")), "id_b").select("id_a", "id_b"))
         keep = new.join(found.select(F.col("id_b").alias("id")).distinct(), "id", "left_anti")
         keep = cut(keep.withColumn("clase", F.col("id")).select("id", "hash_dedup", "clase", "forma"))
         keep.write.parquet(f"{self.path}/aceptados/{self.runs}")
