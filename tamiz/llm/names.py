@@ -26,8 +26,10 @@ from tamiz.llm.textutil import fold
 from tamiz.session import cut
 
 Q = 3
-#: Least Jaccard similarity of q-gram sets of two forms that differ by one slip; a slip in n letters touches Q + 1 grams at most.
+#: Least share of a q-gram set that two forms that differ by one slip have in common, from PREFIXED grams on; a slip touches Q + 1 grams at most.
 SIMILARITY = 0.4
+#: From so many q-grams on, n - (Q + 1) of n are at least ceil(SIMILARITY * n).
+PREFIXED = 7
 #: A token is common (a sector, a given name) when so many different tokens stand beside it, as a share of the names and at least.
 COMMON_SHARE, COMMON_LEAST = 0.004, 5
 
@@ -189,7 +191,9 @@ def similar_keys(keys: DataFrame) -> DataFrame:
     """(``a`` < ``b``) of the strings of ``keys`` (column ``k``) that differ by one slip.
 
     Prefix filter: q-grams are ordered from rare to frequent, and two sets of that similarity share one of their first
-    grams; only those are joined. Strings shorter than four letters have no variants.
+    grams; only those are joined. This holds for sets of ``PREFIXED`` grams and more. Strings of fewer grams, and such as
+    may be their variants (Q + 1 grams more), are joined on what is left when one letter is taken out, which two strings
+    that differ by one slip share. Strings shorter than four letters have no variants.
     """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,13 +201,23 @@ def similar_keys(keys: DataFrame) -> DataFrame:
             rows = [(k, g, len(gs)) for k in pdf["k"] for gs in [_grams(k)] for g in gs]
             yield pd.DataFrame(rows, columns=["k", "g", "n"])
 
-    grams = cut(keys.select("k").distinct().where(F.length("k") >= 4).mapInPandas(explode, "k string, g string, n int"))
+    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, g) for k in pdf["k"] if len(_grams(k)) < PREFIXED + Q + 1 for g in {k} | {k[:i] + k[i + 1 :] for i in range(len(k))}]
+            yield pd.DataFrame(rows, columns=["k", "g"])
+
+    words = cut(keys.select("k").distinct().where(F.length("k") >= 4))
+    short = words.mapInPandas(shorten, "k string, g string")
+    grams = cut(words.mapInPandas(explode, "k string, g string, n int").where(F.col("n") >= PREFIXED))
     df = grams.groupBy("g").agg(F.count("*").alias("df"))
     rank = F.row_number().over(W.partitionBy("k").orderBy("df", "g"))
-    first = grams.join(df, "g").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY) + 1).select("k", "g", "n")
-    a, b = first.select("g", F.col("k").alias("a"), F.col("n").alias("na")), first.select("g", F.col("k").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) <= 1)
-    pairs = a.join(b, "g").where(near & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 2) >= 0)).select("a", "b").distinct()
+    first = grams.join(df, "g").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY) + 1).select("k", "g")
+
+    def joined(on: DataFrame) -> DataFrame:
+        pairs = on.select("g", F.col("k").alias("a")).join(on.select("g", F.col("k").alias("b")), "g")
+        return pairs.where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 2) >= 0)).select("a", "b")
+
+    pairs = joined(first).unionByName(joined(short)).distinct()
 
     def ok(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([slip(p, q) for p, q in zip(x, y, strict=True)])

@@ -50,6 +50,14 @@ def test_similar_keys_equal_brute_force(spark):
     assert got == {(a, b) for a in long for b in long if a < b and N.slip(a, b)}
 
 
+def test_similar_keys_of_short_words_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = {"kavak", "kvaak", "konfio", "kofnio", "loft", "lift", "aaaaaaa", "aaaabaaa"} | {"".join(rng.choice("abcd") for _ in range(rng.randint(4, 9))) for _ in range(150)}
+    words |= {w[:k] + w[k + 1] + w[k] + w[k + 2 :] for w in list(words) for k in [rng.randrange(len(w) - 1)]} | {w * 2 for w in list(words)[:40]}
+    got = {(r.a, r.b) for r in N.similar_keys(spark.createDataFrame([(w,) for w in words], "k string")).collect()}
+    assert {("kavak", "kvaak"), ("kofnio", "konfio")} <= got == {(a, b) for a in words for b in words if a < b and N.slip(a, b)}
+
+
 def statements(rng, n):
     people = ["Ana Ruiz", "Luis Gil", "Eva Sanz", "Jorge Vera", "Rosa Cano"]
     rows = []
