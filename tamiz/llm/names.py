@@ -295,16 +295,28 @@ def link_orgs(values: DataFrame) -> DataFrame:
     return _pairs(whole.unionByName(lone))
 
 
+def stated_nicknames(values: DataFrame, given: set[str]) -> DataFrame:
+    """(``apodo``, ``nombre``): nicknames that stand beside a given name in any value, each pair once."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = set()
+            for v in pdf["valor"]:
+                tokens, nick = person_tokens(v)
+                g = next((t for t in tokens if t in given), None)
+                if nick and g:
+                    rows.add((nick, g))
+            yield pd.DataFrame(sorted(rows), columns=["apodo", "nombre"])
+
+    return values.where(F.col("valor").rlike("[«\"“(]")).select("valor").mapInPandas(scan, "apodo string, nombre string").distinct()
+
+
 def link_persons(values: DataFrame) -> DataFrame:
     """(``valor_a``, ``valor_b``) of the values (``valor``) that name one person."""
     given = set(common_tokens(values, lambda v: person_tokens(v)[0]))
     seen = {}
-    for r in values.where(F.col("valor").rlike("[«\"“(]")).select("valor").limit(20_000).collect():  # nicknames stated beside given names
-        tokens, nick = person_tokens(r.valor)
-        if nick and tokens:
-            g = next((t for t in tokens if t in given), None)
-            if g:
-                seen.setdefault(nick, set()).add(g)
+    for r in stated_nicknames(values, given).collect():
+        seen.setdefault(r.apodo, set()).add(r.nombre)
     nicknames = {k: v for k, v in NICKNAMES.items() if k not in given}
     nicknames |= {k: " ".join(sorted(v | set(NICKNAMES.get(k, "").split()))) for k, v in seen.items() if k not in given}
     parsed = values.select("valor", _udf(lambda v: parse_person(v, given, nicknames), "nombre string, ap1 string, ap2 string", F.col("valor")).alias("p")).select("valor", "p.*")

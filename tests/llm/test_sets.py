@@ -58,6 +58,15 @@ def test_similar_keys_of_short_words_equal_brute_force(spark):
     assert {("kavak", "kvaak"), ("kofnio", "konfio")} <= got == {(a, b) for a in words for b in words if a < b and N.slip(a, b)}
 
 
+def test_nicknames_are_learned_from_all_values(spark):
+    # more than 20,000 values with marks, of which only the last states the nickname
+    filler = spark.range(30_000).select(F.concat(F.lit("Isabel («Isa») Morbengo "), F.col("id").cast("string")).alias("valor"))
+    last = [f"Gabriela {s}" for s in ("Nonchefu Pisan", "Rotrax Vilmo", "Cheduna Bosti", "«Gabita» Yumbrel")]
+    values = filler.unionByName(spark.createDataFrame([(v,) for v in last], "valor string")).coalesce(1)
+    got = {(r.apodo, r.nombre) for r in N.stated_nicknames(values, {"isabel", "gabriela"}).collect()}
+    assert got == {("isa", "isabel"), ("gabita", "gabriela")}
+
+
 def statements(rng, n):
     people = ["Ana Ruiz", "Luis Gil", "Eva Sanz", "Jorge Vera", "Rosa Cano"]
     rows = []
