@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,28 @@ def test_truncation(spark):
     assert X.p4_found(e.limit(0), media).count() == 0
 
 
+def test_contexts_are_counted_one_by_one(spark):
+    # more different contexts than any table of fixed size keeps apart
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(90)) for _ in range(3_000)]
+    ready = spark.createDataFrame([(t, False, 3) for t in texts], "texto string, varias boolean, marca int").repartition(3)
+    counts = X.train(ready, X.wanted_contexts(ready, np.empty(0, np.uint64)))
+    some = texts[:40]
+    of, x = X.final_contexts(some, [False] * len(some))
+    rows = {r.contexto: (r.fin, r.sigue) for r in counts.where(F.col("contexto").isin([int(k) for k in x.view(np.int64)])).collect()}
+    slot = X.WORD_ORDERS.index(11)
+    for n, k in zip(of, x, strict=True):
+        if int(k) & 15 == slot:
+            tail, ends, goes = some[n][-11:], 0, 0
+            for t in texts:
+                at = t.find(tail)
+                while at >= 0:
+                    after = t[at + 11 : at + 12]
+                    ends, goes = (ends, goes + 1) if after.isalpha() else (ends + 1, goes)
+                    at = t.find(tail, at + 1)
+            assert rows[int(k.view(np.int64))] == (ends, goes)
+
+
 def test_residue_frame(spark):
     e = spark.createDataFrame([(1, RESIDUE[0]), (2, None), (3, REAL[0]), (4, RESIDUE[0])], "id long, cita_textual string").withColumn("tabla", F.lit("x"))
     p = spark.createDataFrame([(1, "Blog\nAcceso denegado."), (2, "")], "id long, discurso_corporativo string")
