@@ -4,8 +4,8 @@ A text is cut into blocks at blank lines and into list items; the remaining para
 dynamic programming: whole spans between candidate boundaries are scored by their closing word (does it end sentences,
 or is it an abbreviation?), by the opening word of what follows, by their length, and by whether quotations and
 brackets are balanced inside; the best sequence of spans wins. How often words open and close paragraphs, and how often
-a word with a full stop is followed by more of the sentence, is counted on a bounded sample of documents
-(``MODEL_DOCS``). Thai, which has no full stop, is cut at spaces except beside numbers and between Latin words.
+a word with a full stop is followed by more of the sentence, is counted over all documents, as if there
+were ``MODEL_DOCS``. Thai, which has no full stop, is cut at spaces except beside numbers and between Latin words.
 
 Offsets count code points; ``fin`` is exclusive; surrounding white space and a leading byte-order mark are left out.
 Null, empty and blank texts have no rows; repeated texts give the same rows for each document.
@@ -22,9 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.sampling import bounded_sample
 
+#: Documents to which counts of words are brought, so that scores depend on shares and not on the size of the input.
 MODEL_DOCS = 20_000
+#: Least share of the documents in which a counted word occurs.
+WORD_SHARE = 1e-5
 
 # ---- fixed values -------------------------------------------------------------------------------------------------
 #: Abbreviations after which a sentence goes on (without the last full stop, lower case).
@@ -324,8 +326,13 @@ def sentences(text: str | None, model: SentenceModel) -> list[Span]:
 
 
 def fit(documents: DataFrame, key: str, text_col: str) -> SentenceModel:
-    """Count openers and closers over a bounded sample of documents; counted by word in the cluster."""
-    sample = bounded_sample(documents.where(F.col(text_col).isNotNull()), key, MODEL_DOCS).select(F.col(text_col).alias("t"))
+    """Count openers and closers over all documents, by word in the cluster, and bring the counts to ``MODEL_DOCS`` documents.
+
+    A word must occur twice and in ``WORD_SHARE`` of the documents, so that what reaches the driver is bounded.
+    """
+    texts = documents.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
+    docs = texts.count()
+    least = max(2, math.ceil(WORD_SHARE * docs))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = SentenceModel()
@@ -337,8 +344,8 @@ def fit(documents: DataFrame, key: str, text_col: str) -> SentenceModel:
 
     model = SentenceModel()
     named = {"o": model.opens, "c": model.closes, "g": model.goes_on}
-    for r in sample.mapInPandas(count, "k string, w string, n long").groupBy("k", "w").agg(F.sum("n").alias("n")).where("n >= 2").collect():
-        named[r.k][r.w] = r.n
+    for r in texts.mapInPandas(count, "k string, w string, n long").groupBy("k", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect():
+        named[r.k][r.w] = r.n * MODEL_DOCS / docs
     return model
 
 

@@ -178,6 +178,14 @@ def test_truncation(spark):
     assert X.p4_found(e.limit(0), media).count() == 0
 
 
+def test_sentence_scores_do_not_depend_on_size(spark):
+    texts = ["Gimlar cierra el año. Pide calma al S.A. hoy.", "Tofer abre en Lima.", "Gimlar crece.", "Tofer cae."]
+    some = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], "doc_id long, text string")
+    more = spark.range(25_000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 4 + 1).cast("int")).alias("text"))
+    a, b = S.fit(some, "doc_id", "text"), S.fit(more, "doc_id", "text")
+    assert a.opens == b.opens and a.closes == b.closes and a.goes_on == b.goes_on and a.opens["Gimlar"] == 10_000
+
+
 def test_contexts_are_counted_one_by_one(spark):
     # more different contexts than any table of fixed size keeps apart
     rng = random.Random(8)
