@@ -410,8 +410,8 @@ class AcceptedIndex:
     """The persisted forest over accepted rows, for batches that arrive one by one.
 
     Three tables in a shared folder, each batch adding one run: the accepted rows with their normal forms, and the
-    forest sorted by tree and label (so that a range search reads only the matching row groups). ``merge_runs`` sorts all
-    runs into one.
+    forest sorted by tree and label. A batch is joined with all of them by label prefix; a range search that reads only the
+    matching row groups is still to be made. ``merge_runs`` sorts all runs into one.
     """
 
     def __init__(self, spark: SparkSession, path: str, outlets: frozenset[str], common: frozenset[str]):
