@@ -42,7 +42,7 @@ SIMILARITY, RECALL = 0.8, 0.95
 #: Least share of words that two forms have in common (multiset Jaccard).
 SAME_WORDS = 0.6
 #: Telling words of an exact key: so many, for statements with that many telling words besides figures (least, most).
-EXACT = ((1, 1, 3), (2, 2, 4), (3, 3, 1 << 30))
+EXACT = ((1, 1, 4), (2, 2, 5), (3, 3, 1 << 30))
 #: So many telling words of a longer statement may be missing from the other one, and an exact key is still shared.
 MISSING = 3
 #: Statements with so many telling words besides figures at most are in the trees over all words.
@@ -105,8 +105,8 @@ def names_of(form: str, common: frozenset[str]) -> set[str]:
 def exact_keys(form: str, common: frozenset[str]) -> list[int]:
     """Hashes of the subsets of telling words besides figures under which a statement is looked up exactly.
 
-    Of two statements with the same figures, one such key is shared if at most one of two, two of three to five, or
-    ``MISSING`` of more telling words are missing from the other one, on either side: taken in one order, the first three
+    Of two statements with the same figures, one such key is shared if at most all but one of up to four, or ``MISSING``
+    of more telling words are missing from the other one, on either side: taken in one order, the first three
     that they share stand among the first three and ``MISSING`` of both.
     """
     h = sorted((c ^ (c >> 15)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for c in (zlib.crc32(w.encode()) for w in names_of(form, common)))

@@ -134,7 +134,7 @@ def test_short_labels_with_slips_equal_brute_force(spark):
     for k in range(240):
         names = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(2 + k % 7)]
         words = lambda names, k=k: ["la", *names, "pide", "en", "el", str(k % 5), *(["de", "que", "mientras"] if len(names) < 3 else [])]
-        other = damaged(rng, names, 1 if len(names) < 3 else 2 if len(names) < 6 else 3)
+        other = damaged(rng, names, min(len(names) - 1, 3))
         rows += [(2 * k, " ".join(words(names))), (2 * k + 1, " ".join(words(other)))]
     want = {(a, b) for a, x in rows for b, y in rows if a < b and D.same_statement(x, y, common)}
     classes = spark.createDataFrame(rows, "clase long, forma string")
