@@ -1,10 +1,13 @@
 """Duplicates of new batches against all accepted history (problem 5).
 
 Statements are brought to a normal form (garbling repaired, labels and outlet names removed, case, accents, punctuation
-and spacing folded). Equal forms are one class, found by aggregation. The classes are indexed by a prefix-tree hash
-forest: for each of ``TREES`` permutation families a statement has a label of minimum hashes over its telling words
-(figures, names and other words that aren't common); labels are kept sorted, so that the entries near a batch entry are those in the range
-of its label's prefix. The prefix is as short as the recall target for the least similarity asks (``prefix_depth``).
+and spacing folded). Equal forms are one class, found by aggregation. The classes are kept in a prefix-tree hash forest: for
+each of ``TREES`` permutation families a statement has a label of ``LABEL`` minimum hashes over its telling words (figures, names
+and other words that aren't common). Tree, figures and label are one sortable number; the numbers are persisted as sorted
+runs (``sortedruns``), one run a batch. The entries near a batch entry are those in the range of its label's prefix; a search
+opens only the row groups that overlap a range. Prefixes are widened, from the whole label on, until the trees together
+find pairs of the least similarity with the probability ``RECALL``: for each label by the number of its telling words, as
+one word put differently weighs more in a short label (``free_bits``).
 Slips and damaged letters make telling words differ, which weighs most in short labels; so each statement also has exact
 keys, the figures with each few of its other telling words (``exact_keys``), and statements with hardly any telling words
 are in trees over all their words, too, with the depth for ``SAME_WORDS``.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,10 +37,11 @@ from pyspark.sql import Window as W
 
 from tamiz.llm.encoding import repair
 from tamiz.llm.residue import is_residue_quote
+from tamiz.llm.sortedruns import SortedRuns, lookup
 from tamiz.llm.textutil import fold
-from tamiz.session import cut
+from tamiz.session import cut, ensure_checkpoint_dir
 
-TREES, LABEL = 8, 8
+TREES, LABEL = 8, 6
 #: Least similarity of the telling words of two forms of one statement, and the share of such pairs to be found.
 SIMILARITY, RECALL = 0.8, 0.95
 #: Least share of words that two forms have in common (multiset Jaccard).
@@ -51,9 +56,14 @@ FEW = 2
 COMMON_SHARE = 1e-5
 #: Least share of lower case among the occurrences of a common word (a word may often begin sentences or names).
 LOWER_SHARE = 0.002
-#: Groups of candidates up to this size are compared pairwise; larger ones against their leaders, round by round, then against what was accepted.
+#: The entries of ranges up to this size are compared pairwise; of larger ones with their leaders, round by round, then with what was accepted.
 PAIRWISE = 64
-FOREST = "arbol int, cifras long, etiqueta string, clase long"
+#: The forest's entries: sortable number, how many of its last bits the search leaves free, and the class.
+FOREST = "k long, libres byte, clase long"
+#: Numbers of the trees of exact keys and of record hashes; trees over all words follow those over telling words.
+EXACT_TREE, HASH_TREE = 2 * TREES, 2 * TREES + 1
+#: Bits of the number: the tree, the figures with the first two values of the label, then so many for each further value.
+TREE_BITS, CELL_BITS, VALUE_BITS = 5, 27, 8
 
 _LABEL = re.compile(
     r"^\W*(?:urgente|lo ultimo|lo último|ultima hora|última hora|breaking|exclusiva|exclusivo|video|vídeo|foto|fotos|audio|en vivo|ao vivo|live|ahora|agora|alerta|update|actualizado|atualizado)\s*[.:|)\]–—-]+\s+", re.I
@@ -69,11 +79,21 @@ _B = _RNG.integers(0, 1 << 63, TREES * LABEL, dtype=np.uint64)
 def prefix_depth(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES) -> int:
     """The longest label prefix with which ``trees`` trees still find a pair of that similarity with that probability."""
     depth = LABEL
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
+    while depth > 2 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def free_bits(words: int) -> int:
+    """How many bits of its number a label over so many telling words leaves free in a search.
+
+    The prefix is widened until the recall target is met for the least similarity: ``SIMILARITY``, or less where one word
+    on either side already weighs more, in labels too short for it, but too long for their exact keys to find it.
+    """
+    least = (words - 1) / (words + 1) if words > EXACT[-1][0] + MISSING - 1 else SIMILARITY
+    return VALUE_BITS * (LABEL - prefix_depth(min(SIMILARITY, least)))
+
+
 def normal_form(text: str | None, outlets: frozenset[str]) -> str:
     """Words of a statement, folded, without labels and outlet names; damaged letters stay as U+FFFD. Empty for null."""
     if not text:
@@ -219,29 +239,67 @@ def figures_key(form: str) -> int:
     return zlib.crc32(" ".join(w for w in form.split(" ") if w[:1].isdigit()).encode())
 
 
+def _numbers(tree: np.ndarray | int, figures: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Sortable numbers of labels (one row each); labels of two values fill the number, longer ones are ordered by prefix."""
+    whole = labels.shape[-1] == 2
+    cell = figures.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(2):
+            cell = (cell ^ labels[..., j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            cell ^= cell >> np.uint64(29)
+    k = cell >> np.uint64(64 - CELL_BITS if not whole else TREE_BITS)
+    for j in range(2, labels.shape[-1]):
+        k = (k << np.uint64(VALUE_BITS)) | (labels[..., j].astype(np.uint64) & np.uint64((1 << VALUE_BITS) - 1))
+    return ((np.asarray(tree, dtype=np.uint64) << np.uint64(64 - TREE_BITS)) | k).view(np.int64)
+
+
 def forest(classes: DataFrame, common: frozenset[str]) -> DataFrame:
-    """The forest's entries: (``arbol``, ``cifras``, ``etiqueta`` as hexadecimal digits, ``clase``), one per tree and class.
+    """The forest's entries (``FOREST``) of ``clase`` and ``forma``: one per tree, and one per exact key.
 
-    The figures' key stands before the label, so that the range of a prefix holds only entries with the same figures.
-    The trees over all words follow those over telling words; tree -1 has the exact keys.
+    The figures stand before the label, so that the range of a prefix holds only entries with the same figures.
     """
-    short = prefix_depth(SAME_WORDS)
+    bits = {n: free_bits(n) for n in range(1, 64)}
+    most = free_bits(64)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = pdf["forma"].tolist()
-            rows = []
-            few = [k for k, f in enumerate(texts) if len(names_of(f, common)) <= FEW]
-            for at, first, m in ((range(len(texts)), 0, label_matrix(texts, common)), (few, TREES, label_matrix([texts[k] for k in few], _NONE)[:, :, :short])):
-                for k, labels in zip(at, m.astype(">u2"), strict=True):
-                    rows += [(first + t, figures_key(texts[k]), x.tobytes().hex(), pdf["clase"].iloc[k]) for t, x in enumerate(labels)]
-            for f, c in zip(texts, pdf["clase"], strict=True):
-                rows += [(-1, figures_key(f), f"{x:016x}", c) for x in exact_keys(f, common)]
-            yield pd.DataFrame(rows, columns=["arbol", "cifras", "etiqueta", "clase"])
+            if not len(pdf):
+                continue
+            texts, ids = pdf["forma"].tolist(), pdf["clase"].to_numpy()
+            figures = np.array([figures_key(f) for f in texts], dtype=np.uint64)
+            few = np.array([k for k, f in enumerate(texts) if len(names_of(f, common)) <= FEW], dtype=np.int64)
+            free = np.array([bits.get(len(set(telling_words(f.split(" "), common))), most) for f in texts], dtype=np.int8)
+            order = np.arange(TREES, dtype=np.uint64)[None, :]
+            trees = _numbers(order, figures[:, None], label_matrix(texts, common)).reshape(-1)
+            more = _numbers(order + np.uint64(TREES), figures[few][:, None], label_matrix([texts[k] for k in few], _NONE)[:, :, :2]).reshape(-1)
+            exact = [exact_keys(f, common) for f in texts]
+            sizes = [len(x) for x in exact]
+            with np.errstate(over="ignore"):
+                e = (np.array([y for x in exact for y in x], dtype=np.uint64) ^ np.repeat(figures, sizes)) * np.uint64(0x9E3779B97F4A7C15)
+            e = ((e ^ (e >> np.uint64(29))) >> np.uint64(TREE_BITS) | np.uint64(EXACT_TREE << 64 - TREE_BITS)).view(np.int64)
+            yield pd.DataFrame(
+                {
+                    "k": np.concatenate([trees, more, e]),
+                    "libres": np.concatenate([np.repeat(free, TREES), np.zeros(len(more) + len(e), dtype=np.int8)]),
+                    "clase": np.concatenate([np.repeat(ids, TREES), np.repeat(ids[few], TREES), np.repeat(ids, sizes)]),
+                }
+            )
 
     return classes.select("clase", "forma").mapInPandas(scan, FOREST)
 
 
+def hash_entries(rows: DataFrame, id_col: str) -> DataFrame:
+    """The forest's entries of record hashes (``hash_dedup``), looked up exactly; null hashes have none."""
+    top = (HASH_TREE << 64 - TREE_BITS) - (1 << 64)
+    k = F.xxhash64("hash_dedup").bitwiseAND(F.lit((1 << 64 - TREE_BITS) - 1)).bitwiseOR(F.lit(top))
+    return rows.where("hash_dedup is not null").select(k.alias("k"), F.lit(0).cast("byte").alias("libres"), F.col(id_col).alias("clase"))
+
+
+def ranges_of(entries: DataFrame) -> DataFrame:
+    """The ranges (``lo``, ``hi``) in which a search looks for what is near the entries."""
+    return entries.select(F.expr("shiftleft(shiftright(k, libres), libres)").alias("lo"), F.expr("k | (shiftleft(1L, libres) - 1)").alias("hi"), "libres", "clase")
+
+
 _NONE: frozenset[str] = frozenset()
 
 
@@ -258,52 +316,32 @@ def _verified(pairs: DataFrame, classes: DataFrame, common: frozenset[str]) -> D
     return texts.select("a", "b", "fa", "fb").mapInPandas(scan, "a long, b long")
 
 
-def forest_keys(classes: DataFrame, common: frozenset[str]) -> DataFrame:
-    """(``k``, ``clase``): the forest's entries with tree, figures and the label's prefix in one number, for the search over all classes."""
-    depth, short = prefix_depth(), prefix_depth(SAME_WORDS)
-
-    def numbers(figures: np.ndarray, first: int, m: np.ndarray) -> np.ndarray:
-        k = figures[:, None] * np.uint64(2 * TREES + 1) + np.arange(first, first + TREES, dtype=np.uint64)[None, :]
-        with np.errstate(over="ignore"):
-            for j in range(m.shape[2]):
-                k = (k ^ m[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
-                k ^= k >> np.uint64(29)
-        return k.reshape(-1)
+def near_classes(classes: DataFrame, common: frozenset[str], run: SortedRuns) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Links (``a`` < ``b``) between classes that are forms of one statement; all there are in ranges of up to ``PAIRWISE`` entries.
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            texts, ids = pdf["forma"].tolist(), pdf["clase"].to_numpy()
-            figures = np.array([figures_key(f) for f in texts], dtype=np.uint64)
-            few = np.array([k for k, f in enumerate(texts) if len(names_of(f, common)) <= FEW], dtype=np.int64)
-            trees = numbers(figures, 0, label_matrix(texts, common)[:, :, :depth].astype(np.uint64))
-            more = numbers(figures[few], TREES, label_matrix([texts[k] for k in few], _NONE)[:, :, :short].astype(np.uint64))
-            exact = [exact_keys(f, common) for f in texts]
-            sizes = [len(x) for x in exact]
-            with np.errstate(over="ignore"):
-                e = (np.array([y for x in exact for y in x], dtype=np.uint64) ^ np.repeat(figures * np.uint64(2 * TREES + 1) + np.uint64(2 * TREES), sizes)) * np.uint64(0x9E3779B97F4A7C15)
-            e ^= e >> np.uint64(29)
-            yield pd.DataFrame({"k": np.concatenate([trees, more, e]).view(np.int64), "clase": np.concatenate([np.repeat(ids, TREES), np.repeat(ids[few], TREES), np.repeat(ids, sizes)])})
-
-    return classes.select("clase", "forma").mapInPandas(scan, "k long, clase long")
+    ``run``: the classes' own sorted run, in which each of its entries is searched. Larger ranges are compared with their leaders here, twice as
+    many each round, and returned (``k``, ``clase``) with the pairs that were compared, for ``settled``; None and None if
+    there are no such ranges.
+    """
 
+    def pairs_of(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        a, b, wa, wb = asked["clase"].to_numpy(), found["clase"].to_numpy(), asked["libres"].to_numpy(), found["libres"].to_numpy()
+        take = (a != b) & ((wb < wa) | ((wb == wa) & (b < a)))  # otherwise the other one's search finds it, too
+        out = pd.DataFrame({"grande": False, "a": np.minimum(a, b)[take], "b": np.maximum(a, b)[take]})
+        return out.drop_duplicates()
 
-def near_classes(classes: DataFrame, common: frozenset[str]) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Links (``a`` < ``b``) between classes that are forms of one statement; all there are in groups up to ``PAIRWISE``.
+    def crowd(asked: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"grande": True, "a": asked["lo"].to_numpy(), "b": asked["hi"].to_numpy()}).drop_duplicates()
 
-    Larger groups are compared with their leaders here, twice as many each round, and returned (``k``, ``clase``) with the
-    pairs that were compared, for ``settled``; None and None if there are no such groups.
-    """
-    keys = forest_keys(classes.where("forma <> ''"), common)
     own = W.partitionBy("k")
-    keys = cut(keys.select("k", "clase", F.count("*").over(own).alias("n")).where("n > 1"))
-    small = keys.where(F.col("n") <= PAIRWISE).select("k", "clase")
-    left, right = small.select("k", F.col("clase").alias("a")), small.select("k", F.col("clase").alias("b"))
-    links = _verified(left.join(right, "k").where("a < b").select("a", "b").distinct(), classes, common)
-    large = keys.where(F.col("n") > PAIRWISE).select("k", "clase")
-    if large.isEmpty():
+    hits = cut(run.search(ranges_of(run.rows()), ["clase", "libres"], pairs_of, "grande boolean, a long, b long", PAIRWISE, crowd).distinct())
+    links = _verified(hits.where("not grande").select("a", "b"), classes, common)
+    wide = hits.where("grande").select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+    if wide.isEmpty():
         return links.distinct(), None, None
+    member = lambda asked, found: pd.DataFrame({"lo": asked["lo"], "hi": asked["hi"], "clase": found["clase"]})
+    members = run.search(wide, ["clase"], member, "lo long, hi long, clase long").distinct()
+    large = cut(members.select(F.xxhash64("lo", "hi").alias("k"), "clase"))
     rest, tested, leaders = large, None, 1
     while not rest.isEmpty():
         # each member against its group's leaders; the group goes on without the leaders and what they took
@@ -396,69 +434,71 @@ def named_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
     return n.join(named, "huella", "left").select("id", "hash_dedup", F.coalesce("clase", "id").alias("clase"))
 
 
+def index_folder(spark: SparkSession) -> str:
+    """A new folder for runs beside the checkpoints, in the shared folder that the cluster names."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/bosque-{uuid.uuid4().hex}"
+
+
 def find_repeats(rows: DataFrame, outlets: frozenset[str]) -> DataFrame:
-    """(``id_a``, ``id_b``) over all rows (``id``, ``hash_dedup``, ``cita_textual``), taken in order of ``id``."""
-    common = common_words(rows, "cita_textual")
-    f = cut(forms(rows, outlets))
-    named, classes = classes_of(f)
-    named, classes = cut(named), cut(classes)
-    links, large, tested = near_classes(classes, common)
-    return settled(named_rows(f, named), classes, common, cut(links), large, tested)
+    """(``id_a``, ``id_b``) over all rows (``id``, ``hash_dedup``, ``cita_textual``), taken in order of ``id`` as one batch for an empty index."""
+    return AcceptedIndex(rows.sparkSession, index_folder(rows.sparkSession), outlets, common_words(rows, "cita_textual")).add_batch(rows, last=True)
 
 
 class AcceptedIndex:
     """The persisted forest over accepted rows, for batches that arrive one by one.
 
-    Three tables in a shared folder, each batch adding one run: the accepted rows with their normal forms, and the
-    forest sorted by tree and label. A batch is joined with all of them by label prefix; a range search that reads only the
-    matching row groups is still to be made. ``merge_runs`` sorts all runs into one.
+    Two sets of sorted runs in a shared folder, each batch adding one run to both: the forest with the record hashes, and the
+    accepted rows by ``id`` with their normal forms. A batch is normalised, written as a sorted run of its own and searched
+    in that run and, by the same ranges, in the forest's; forms and hashes are read only of what the search found. Neither
+    the history's texts nor row groups of the forest without a range are read (``leidos`` and ``guardados`` count the
+    bytes of row groups opened, and of all there were to search). ``merge_runs`` sorts all runs into one.
     """
 
     def __init__(self, spark: SparkSession, path: str, outlets: frozenset[str], common: frozenset[str]):
         self.spark, self.path, self.outlets, self.common = spark, path, outlets, common
-        self.runs = 0
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        if not self.runs:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(*[f"{self.path}/{name}/{k}" for k in range(self.runs)])
-
-    def accepted(self) -> DataFrame:
-        return self._read("aceptados", "id long, hash_dedup string, clase long, forma string")
-
-    def add_batch(self, batch: DataFrame) -> DataFrame:
-        """Accept what is new in ``batch`` and return (``id_a``, ``id_b``) of what repeats accepted rows or the batch itself."""
+        self.bosque, self.aceptados = SortedRuns(spark, f"{path}/bosque"), SortedRuns(spark, f"{path}/aceptados")
+        self.leidos, self.guardados = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def _near(self, own: SortedRuns, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Accepted rows near the batch (``id``, ``hash_dedup``, ``forma``), and (``a`` accepted, ``b`` class of the batch) by the ranges."""
+        counts = (self.leidos, self.guardados)
+        found = lambda asked, rows: pd.DataFrame({"a": rows["clase"], "b": asked["clase"]}).drop_duplicates()
+        near = cut(self.bosque.search(ranges_of(own.rows()), ["clase"], found, "a long, b long", counts=counts).distinct())
+        hashes = ranges_of(hash_entries(new.select("hash_dedup").distinct().withColumn("id", F.lit(0).cast("long")), "id"))
+        same = self.bosque.search(hashes, ["clase"], found, "a long, b long", counts=counts)
+        ids = near.select(F.col("a").alias("k")).unionByName(same.select(F.col("a").alias("k"))).distinct()
+        return cut(lookup(self.aceptados, ids, ["hash_dedup", "forma"], "hash_dedup string, forma string", counts).withColumnRenamed("k", "id")), near
+
+    def add_batch(self, batch: DataFrame, last: bool = False) -> DataFrame:
+        """Accept what is new in ``batch`` and return (``id_a``, ``id_b``) of what repeats accepted rows or the batch itself.
+
+        After the ``last`` batch nothing is kept.
+        """
         new = cut(forms(batch, self.outlets))
-        old = self.accepted()
-        depth = 4 * prefix_depth()
         named, fresh = classes_of(new)
-        fresh = cut(fresh)
-        mine = forest(fresh, self.common).withColumn("p", F.substring("etiqueta", 1, depth))
-        theirs = self._read("bosque", FOREST).withColumn("p", F.substring("etiqueta", 1, depth))
-        near = theirs.join(mine.select("arbol", "cifras", "p", F.col("clase").alias("nueva")), ["arbol", "cifras", "p"]).select("clase", "nueva").distinct()
-        hit = old.where("forma <> ''").join(near, "clase").select("clase", "forma", "nueva")
-        pool = fresh.unionByName(hit.select("clase", "forma").distinct()).dropDuplicates(["clase"])
-        outside = _verified(hit.select(F.col("clase").alias("a"), F.col("nueva").alias("b")).distinct(), pool, self.common)
-        inside, large, tested = near_classes(fresh, self.common)
-        links = cut(outside.unionByName(inside).distinct())
-        same_hash = new.where("hash_dedup is not null").select("hash_dedup").distinct()
-        touched = old.join(same_hash, "hash_dedup", "left_semi").unionByName(old.join(hit.select("clase").distinct(), "clase", "left_semi").select(*old.columns))
-        touched = touched.dropDuplicates(["id"]).select("id", "hash_dedup", "clase")
-        named = named_rows(new, named)
-        found = cut(settled(touched.unionByName(named), fresh, self.common, links, large, tested).join(new.select(F.col("id").alias("id_b")), "id_b").select("id_a", "id_b"))
-        keep = new.join(found.select(F.col("id_b").alias("id")).distinct(), "id", "left_anti")
-        keep = cut(keep.withColumn("clase", F.col("id")).select("id", "hash_dedup", "clase", "forma"))
-        keep.write.parquet(f"{self.path}/aceptados/{self.runs}")
-        forest(keep.where("forma <> ''"), self.common).sort("arbol", "cifras", "etiqueta").write.parquet(f"{self.path}/bosque/{self.runs}")
-        self.runs += 1
+        named, fresh = cut(named), cut(fresh)
+        own = SortedRuns(self.spark, f"{self.path}/lote-{self.bosque.runs}")
+        own.add(forest(fresh, self.common), "clase")
+        links, large, tested = near_classes(fresh, self.common, own)
+        rows = named_rows(new, named)
+        if self.bosque.runs:
+            old, near = self._near(own, new)
+            pool = fresh.unionByName(old.where("forma <> ''").select(F.col("id").alias("clase"), "forma"))
+            links = links.unionByName(_verified(near, pool, self.common)).distinct()
+            rows = rows.unionByName(old.select("id", "hash_dedup", F.col("id").alias("clase")))
+        found = settled(rows, fresh, self.common, cut(links), large, tested)
+        if last:
+            return found
+        found = cut(found.join(new.select(F.col("id").alias("id_b")), "id_b", "left_semi").select("id_a", "id_b"))
+        keep = cut(new.join(found.select(F.col("id_b").alias("id")).distinct(), "id", "left_anti"))
+        self.aceptados.add(keep.select(F.col("id").alias("k"), "hash_dedup", "forma"), "hash_dedup")
+        self.bosque.add(forest(keep.where("forma <> ''").select(F.col("id").alias("clase"), "forma"), self.common).unionByName(hash_entries(keep, "id")), "clase")
         return found
 
     def merge_runs(self, path: str) -> AcceptedIndex:
         """One sorted run in a new folder, equal to all runs so far."""
         out = AcceptedIndex(self.spark, path, self.outlets, self.common)
-        self.accepted().write.parquet(f"{path}/aceptados/0")
-        self._read("bosque", "").sort("arbol", "cifras", "etiqueta").write.parquet(f"{path}/bosque/0")
-        out.runs = 1
+        out.bosque, out.aceptados = self.bosque.merge(f"{path}/bosque", "clase"), self.aceptados.merge(f"{path}/aceptados", "hash_dedup")
         return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tamiz.llm import batchdedup as D
 from tamiz.llm import names as N
 from tamiz.llm import packing as P
+from tamiz.llm import sortedruns as S
 from tamiz.llm import tokenizer as K
 
 ORGS = [
@@ -127,6 +128,12 @@ def damaged(rng, words, n):
     return out
 
 
+def near(classes, common):
+    run = D.SortedRuns(classes.sparkSession, D.index_folder(classes.sparkSession))
+    run.add(D.forest(classes, common), "clase")
+    return D.near_classes(classes, common, run)
+
+
 def test_short_labels_with_slips_equal_brute_force(spark):
     rng = random.Random(3)
     common = frozenset("la el de en que pide mientras".split())
@@ -138,7 +145,7 @@ def test_short_labels_with_slips_equal_brute_force(spark):
         rows += [(2 * k, " ".join(words(names))), (2 * k + 1, " ".join(words(other)))]
     want = {(a, b) for a, x in rows for b, y in rows if a < b and D.same_statement(x, y, common)}
     classes = spark.createDataFrame(rows, "clase long, forma string")
-    assert len(want) >= 230 and {(r.a, r.b) for r in D.near_classes(classes, common)[0].collect()} == want
+    assert len(want) >= 230 and {(r.a, r.b) for r in near(classes, common)[0].collect()} == want
 
 
 def test_rejected_leader_of_large_group_keeps_links(spark, monkeypatch):
@@ -152,14 +159,60 @@ def test_rejected_leader_of_large_group_keeps_links(spark, monkeypatch):
     want = {(0, 1), (2, 3), (2, 4)}
     for size in (64, 2):
         monkeypatch.setattr(D, "PAIRWISE", size)
-        links, large, tested = D.near_classes(classes, common)
+        links, large, tested = near(classes, common)
         assert (large is None) == (size == 64)
         assert {(r.id_a, r.id_b) for r in D.settled(rows, classes, common, links, large, tested).collect()} == want
 
 
-def test_prefix_depth_meets_recall():
+def test_prefixes_are_widened_to_the_recall_target():
+    found = lambda similarity, depth: 1 - (1 - similarity**depth) ** D.TREES
     d = D.prefix_depth()
-    assert 1 - (1 - D.SIMILARITY**d) ** D.TREES >= D.RECALL
+    assert found(D.SIMILARITY, d) >= D.RECALL > found(D.SIMILARITY, d + 1)
+    for n in range(1, 40):
+        depth = D.LABEL - D.free_bits(n) // D.VALUE_BITS
+        assert depth == 2 or found(min(D.SIMILARITY, (n - 1) / (n + 1) if n > 5 else 1), depth) >= D.RECALL
+    assert D.free_bits(6) > D.free_bits(8) > D.free_bits(12)
+
+
+def test_recall_of_similar_labels(spark):
+    # pairs that share no exact key: long labels of which a fifth of the words differ
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    rows, want = [], set()
+    for k in range(150):
+        names = [word() for _ in range(36)]
+        other = damaged(rng, names, 4)
+        rows += [(2 * k, " ".join(names)), (2 * k + 1, " ".join(other))]
+        want.add((2 * k, 2 * k + 1))
+    got = {(r.a, r.b) for r in near(spark.createDataFrame(rows, "clase long, forma string"), frozenset())[0].collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_leader_that_repeats_by_hash(spark):
+    # an unrelated row and the leader of a large group share a hash; the group's other wordings are linked among themselves
+    common = "de la el en que con por su al lo le les una uno".split()
+    rows = [(0, "h", "Nada que ver con 9"), (1, "h", "Lodamor Bener Farcar Gimlar Tofer Plicle 7 " + " ".join(common[:6]))]
+    rows += [(k, None, "Lodamor Bener Farcar Gimlar Tofer Plicle 7 " + " ".join([*common[:6], *[common[6 + j] for j in range(8) if (k >> j) & 1][:4]])) for k in range(2, 67)]
+    lower = [(1000 + k, None, f"Nota {k} {' '.join(common)} xx") for k in range(3)]  # so that these words are common
+    df = spark.createDataFrame(rows + lower, "id long, hash_dedup string, cita_textual string")
+    words = D.common_words(df, "cita_textual")
+    assert set(common) <= words
+    got = {(r.id_a, r.id_b) for r in D.find_repeats(df, frozenset()).collect()}
+    assert got == brute(rows + lower, frozenset(), words) and len(got) >= 60
+
+
+def test_batch_opens_matching_row_groups_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "GROUP_BYTES", 1 << 12)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(4)).title()
+    texts = [" ".join(word() for _ in range(8)) + f" {k}" for k in range(3000)]
+    rows = spark.createDataFrame([(k, f"h{k}", t) for k, t in enumerate(texts)], "id long, hash_dedup string, cita_textual string")
+    index = D.AcceptedIndex(spark, str(tmp_path / "c"), frozenset(), frozenset())
+    assert index.add_batch(rows).count() == 0
+    index.leidos.value = index.guardados.value = 0
+    late = spark.createDataFrame([(5000, "x", texts[7].upper()), (5001, "h9", "Otra cosa 1"), (5002, "y", "Sin par 2")], "id long, hash_dedup string, cita_textual string")
+    assert {(r.id_a, r.id_b) for r in index.add_batch(late).collect()} == {(7, 5000), (9, 5001)}
+    assert 0 < index.leidos.value < 0.35 * index.guardados.value
 
 
 @pytest.fixture(scope="module")
