@@ -6,8 +6,7 @@ each of ``TREES`` permutation families a statement has a label of ``LABEL`` mini
 and other words that aren't common). Tree, figures and label are one sortable number; the numbers are persisted as sorted
 runs (``sortedruns``), one run a batch. The entries near a batch entry are those in the range of its label's prefix; a search
 opens only the row groups that overlap a range. Prefixes are widened, from the whole label on, until the trees together
-find pairs of the least similarity with the probability ``RECALL``: for each label by the number of its telling words, as
-one word put differently weighs more in a short label (``free_bits``).
+find pairs of the least similarity with the probability ``RECALL`` (``prefix_depth``).
 Slips and damaged letters make telling words differ, which weighs most in short labels; so each statement also has exact
 keys, the figures with each few of its other telling words (``exact_keys``), and statements with hardly any telling words
 are in trees over all their words, too, with the depth for ``SAME_WORDS``.
@@ -37,7 +36,7 @@ from pyspark.sql import Window as W
 
 from tamiz.llm.encoding import repair
 from tamiz.llm.residue import is_residue_quote
-from tamiz.llm.sortedruns import SortedRuns, lookup
+from tamiz.llm.sortedruns import SortedRuns, lookup, placed
 from tamiz.llm.textutil import fold
 from tamiz.session import cut, ensure_checkpoint_dir
 
@@ -50,7 +49,7 @@ SAME_WORDS = 0.6
 EXACT = ((1, 1, 4), (2, 2, 5), (3, 3, 1 << 30))
 #: So many telling words of a longer statement may be missing from the other one, and an exact key is still shared.
 MISSING = 3
-#: Statements with so many telling words besides figures at most are in the trees over all words.
+#: Statements with so many telling words besides figures at most are in the trees over all words, with prefixes of two values.
 FEW = 2
 #: Least share of the rows that have a common word in lower case.
 COMMON_SHARE = 1e-5
@@ -58,8 +57,10 @@ COMMON_SHARE = 1e-5
 LOWER_SHARE = 0.002
 #: The entries of ranges up to this size are compared pairwise; of larger ones with their leaders, round by round, then with what was accepted.
 PAIRWISE = 64
-#: The forest's entries: sortable number, how many of its last bits the search leaves free, and the class.
-FOREST = "k long, libres byte, clase long"
+#: The forest's entries: sortable number and class.
+FOREST = "k long, clase long"
+#: Classes on which the ranges of keys are found into which a run is parted, and the entries that a part is to have.
+PARTING, PART_ROWS = 20_000, 2_000_000
 #: Numbers of the trees of exact keys and of record hashes; trees over all words follow those over telling words.
 EXACT_TREE, HASH_TREE = 2 * TREES, 2 * TREES + 1
 #: Bits of the number: the tree, the figures with the first two values of the label, then so many for each further value.
@@ -84,16 +85,6 @@ def prefix_depth(similarity: float = SIMILARITY, recall: float = RECALL, trees:
     return depth
 
 
-def free_bits(words: int) -> int:
-    """How many bits of its number a label over so many telling words leaves free in a search.
-
-    The prefix is widened until the recall target is met for the least similarity: ``SIMILARITY``, or less where one word
-    on either side already weighs more, in labels too short for it, but too long for their exact keys to find it.
-    """
-    least = (words - 1) / (words + 1) if words > EXACT[-1][0] + MISSING - 1 else SIMILARITY
-    return VALUE_BITS * (LABEL - prefix_depth(min(SIMILARITY, least)))
-
-
 def normal_form(text: str | None, outlets: frozenset[str]) -> str:
     """Words of a statement, folded, without labels and outlet names; damaged letters stay as U+FFFD. Empty for null."""
     if not text:
@@ -253,13 +244,11 @@ def _numbers(tree: np.ndarray | int, figures: np.ndarray, labels: np.ndarray) ->
     return ((np.asarray(tree, dtype=np.uint64) << np.uint64(64 - TREE_BITS)) | k).view(np.int64)
 
 
-def forest(classes: DataFrame, common: frozenset[str]) -> DataFrame:
-    """The forest's entries (``FOREST``) of ``clase`` and ``forma``: one per tree, and one per exact key.
+def forest(classes: DataFrame, common: frozenset[str], bounds: np.ndarray | None = None) -> DataFrame:
+    """The forest's entries (``FOREST``) of ``clase`` and ``forma``: one per tree, and one per exact key; with ``bounds`` also their ``parte``.
 
     The figures stand before the label, so that the range of a prefix holds only entries with the same figures.
     """
-    bits = {n: free_bits(n) for n in range(1, 64)}
-    most = free_bits(64)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -268,7 +257,6 @@ def forest(classes: DataFrame, common: frozenset[str]) -> DataFrame:
             texts, ids = pdf["forma"].tolist(), pdf["clase"].to_numpy()
             figures = np.array([figures_key(f) for f in texts], dtype=np.uint64)
             few = np.array([k for k, f in enumerate(texts) if len(names_of(f, common)) <= FEW], dtype=np.int64)
-            free = np.array([bits.get(len(set(telling_words(f.split(" "), common))), most) for f in texts], dtype=np.int8)
             order = np.arange(TREES, dtype=np.uint64)[None, :]
             trees = _numbers(order, figures[:, None], label_matrix(texts, common)).reshape(-1)
             more = _numbers(order + np.uint64(TREES), figures[few][:, None], label_matrix([texts[k] for k in few], _NONE)[:, :, :2]).reshape(-1)
@@ -277,27 +265,39 @@ def forest(classes: DataFrame, common: frozenset[str]) -> DataFrame:
             with np.errstate(over="ignore"):
                 e = (np.array([y for x in exact for y in x], dtype=np.uint64) ^ np.repeat(figures, sizes)) * np.uint64(0x9E3779B97F4A7C15)
             e = ((e ^ (e >> np.uint64(29))) >> np.uint64(TREE_BITS) | np.uint64(EXACT_TREE << 64 - TREE_BITS)).view(np.int64)
-            yield pd.DataFrame(
-                {
-                    "k": np.concatenate([trees, more, e]),
-                    "libres": np.concatenate([np.repeat(free, TREES), np.zeros(len(more) + len(e), dtype=np.int8)]),
-                    "clase": np.concatenate([np.repeat(ids, TREES), np.repeat(ids[few], TREES), np.repeat(ids, sizes)]),
-                }
-            )
+            out = pd.DataFrame({"k": np.concatenate([trees, more, e]), "clase": np.concatenate([np.repeat(ids, TREES), np.repeat(ids[few], TREES), np.repeat(ids, sizes)])})
+            yield out if bounds is None else out.assign(parte=placed(out["k"].to_numpy(), out["clase"].to_numpy(), bounds))
 
-    return classes.select("clase", "forma").mapInPandas(scan, FOREST)
+    return classes.select("clase", "forma").mapInPandas(scan, FOREST if bounds is None else f"{FOREST}, parte int")
+
+
+def write_forest(run: SortedRuns, classes: DataFrame, common: frozenset[str]) -> None:
+    """Write the forest of ``classes`` as a run.
+
+    The ranges of its parts come from about ``PARTING`` classes, chosen by hash: they only balance the parts, so that the
+    entries needn't be worked out twice.
+    """
+    n = max(classes.count(), 1)
+    some = classes.where(F.pmod(F.xxhash64("clase"), F.lit(1_000_000)) <= int(1_000_000 * min(1.0, PARTING / n)))
+    keys = np.sort(np.array([r.k for r in forest(some, common).select("k").collect()], dtype=np.int64))
+    asked = min(n, PARTING)
+    parts = max(classes.sparkSession.sparkContext.defaultParallelism, -(-len(keys) * n // (asked * PART_ROWS)))
+    bounds = keys[np.arange(1, parts) * len(keys) // parts] if len(keys) else keys
+    run.add(forest(classes, common, bounds), "clase", parts)
 
 
 def hash_entries(rows: DataFrame, id_col: str) -> DataFrame:
     """The forest's entries of record hashes (``hash_dedup``), looked up exactly; null hashes have none."""
     top = (HASH_TREE << 64 - TREE_BITS) - (1 << 64)
     k = F.xxhash64("hash_dedup").bitwiseAND(F.lit((1 << 64 - TREE_BITS) - 1)).bitwiseOR(F.lit(top))
-    return rows.where("hash_dedup is not null").select(k.alias("k"), F.lit(0).cast("byte").alias("libres"), F.col(id_col).alias("clase"))
+    return rows.where("hash_dedup is not null").select(k.alias("k"), F.col(id_col).alias("clase"))
 
 
 def ranges_of(entries: DataFrame) -> DataFrame:
-    """The ranges (``lo``, ``hi``) in which a search looks for what is near the entries."""
-    return entries.select(F.expr("shiftleft(shiftright(k, libres), libres)").alias("lo"), F.expr("k | (shiftleft(1L, libres) - 1)").alias("hi"), "libres", "clase")
+    """The ranges (``lo``, ``hi``) in which a search looks for what is near the entries: the prefix in trees over telling words, one number elsewhere."""
+    free = (1 << VALUE_BITS * (LABEL - prefix_depth())) - 1
+    label = F.shiftrightunsigned("k", 64 - TREE_BITS) < TREES
+    return entries.select(F.when(label, F.col("k").bitwiseAND(F.lit(~free))).otherwise(F.col("k")).alias("lo"), F.when(label, F.col("k").bitwiseOR(F.lit(free))).otherwise(F.col("k")).alias("hi"), "clase")
 
 
 _NONE: frozenset[str] = frozenset()
@@ -325,16 +325,15 @@ def near_classes(classes: DataFrame, common: frozenset[str], run: SortedRuns) ->
     """
 
     def pairs_of(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        a, b, wa, wb = asked["clase"].to_numpy(), found["clase"].to_numpy(), asked["libres"].to_numpy(), found["libres"].to_numpy()
-        take = (a != b) & ((wb < wa) | ((wb == wa) & (b < a)))  # otherwise the other one's search finds it, too
-        out = pd.DataFrame({"grande": False, "a": np.minimum(a, b)[take], "b": np.maximum(a, b)[take]})
-        return out.drop_duplicates()
+        a, b = asked["clase"].to_numpy(), found["clase"].to_numpy()
+        take = b < a  # the other one's search finds the pair, too
+        return pd.DataFrame({"grande": False, "a": b[take], "b": a[take]}).drop_duplicates()
 
     def crowd(asked: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"grande": True, "a": asked["lo"].to_numpy(), "b": asked["hi"].to_numpy()}).drop_duplicates()
 
     own = W.partitionBy("k")
-    hits = cut(run.search(ranges_of(run.rows()), ["clase", "libres"], pairs_of, "grande boolean, a long, b long", PAIRWISE, crowd).distinct())
+    hits = cut(run.search(ranges_of(run.rows()), ["clase"], pairs_of, "grande boolean, a long, b long", PAIRWISE, crowd).distinct())
     links = _verified(hits.where("not grande").select("a", "b"), classes, common)
     wide = hits.where("grande").select(F.col("a").alias("lo"), F.col("b").alias("hi"))
     if wide.isEmpty():
@@ -478,7 +477,7 @@ class AcceptedIndex:
         named, fresh = classes_of(new)
         named, fresh = cut(named), cut(fresh)
         own = SortedRuns(self.spark, f"{self.path}/lote-{self.bosque.runs}")
-        own.add(forest(fresh, self.common), "clase")
+        write_forest(own, fresh, self.common)
         links, large, tested = near_classes(fresh, self.common, own)
         rows = named_rows(new, named)
         if self.bosque.runs:

@@ -61,10 +61,15 @@ class SortedRuns:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.runs = spark, path, 0
 
-    def add(self, rows: DataFrame, then: str) -> None:
-        """Write ``rows`` as a new run, sorted by ``k`` and ``then`` (by which a key with many rows is split, too)."""
+    def add(self, rows: DataFrame, then: str, parts: int | None = None) -> None:
+        """Write ``rows`` as a new run, sorted by ``k`` and ``then`` (by which a key with many rows is split, too).
+
+        With ``parts``, the rows say themselves in ``parte`` to which of so many ranges of keys they belong, in the order of
+        the keys (``placed``); otherwise ranges are found by sampling, for which the rows are worked out twice.
+        """
         out = f"{self.path}/{self.runs}"
-        rows.repartitionByRange("k", then).sortWithinPartitions("k", then).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{out}/filas")
+        placed = rows.repartitionByRange("k", then) if parts is None else rows.repartitionById(parts, "parte").drop("parte")
+        placed.sortWithinPartitions("k", then).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{out}/filas")
         files = self.spark.read.parquet(f"{out}/filas").inputFiles()
         names = self.spark.createDataFrame([(f,) for f in files], "archivo string")
         names.repartition(max(1, min(len(files), 64))).mapInPandas(_row_groups, INDEX).write.parquet(f"{out}/indice")
@@ -155,6 +160,12 @@ class SortedRuns:
         return out
 
 
+def placed(keys: np.ndarray, salt: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each key between ascending ``bounds``; a key that several bounds equal is spread over the ranges they part, by ``salt``."""
+    lo, hi = np.searchsorted(bounds, keys, side="left"), np.searchsorted(bounds, keys, side="right")
+    return (lo + salt.astype(np.int64) % (hi - lo + 1)).astype(np.int32)
+
+
 def _touched(first: np.ndarray, last: np.ndarray) -> list[int]:
     """Numbers from ``first`` up to, not including, ``last`` of any range, each once, in order."""
     if not len(first):
