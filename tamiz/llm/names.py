@@ -4,9 +4,10 @@ Values are parsed into telling tokens (brand of an organisation; given name and
 (legal forms, sectors, titles), the latter learned by how many different tokens stand beside them: rare tokens count more.
 Values that differ only in case, accents, punctuation, order, legal form or abbreviation meet in one canonical form.
 Canonical forms with typing slips are found by a prefix-filtered set-similarity join on the q-grams of their telling
-tokens (rarest q-grams first), and verified by soft weighted token similarity: telling tokens must match up to one slip
-each, sectors or given names may not contradict. Forms that leave a part out (no sector, one surname, initials,
-nicknames) are linked only where exactly one entity fits.
+tokens (rarest q-grams first). Every link is verified by soft weighted token similarity (``soft_similarity``): tokens are
+matched one to one, equal ones fully, mistyped, abbreviated and pet forms in part; each counts by its rarity among all
+values (``rarity``), and tokens that contradict each other (another sector, another given name) count as much as the rarest.
+Forms that leave a part out (no sector, one surname, initials, nicknames) are linked only where exactly one entity fits.
 
 Null and blank values, search terms and generic speakers name no entity. Repeated values are taken once. Values of one
 entity are returned as all their pairs; an entity has as many values as people found ways to write it, not rows.
@@ -33,6 +34,11 @@ PREFIXED = 7
 #: A token is common (a sector, a given name) when so many different tokens stand beside it, as a share of the names and at least.
 COMMON_SHARE, COMMON_LEAST = 0.004, 5
 
+#: Least soft weighted similarity of two names of one entity.
+SOFT = 0.72
+#: Similarity of an initial and of a pet form to the name that they stand for.
+INITIAL, PET = 0.9, 0.95
+
 # ---- fixed values -------------------------------------------------------------------------------------------------
 LEGAL_FORMS = re.compile(
     r"[ ,]+(?:s\.? ?a\.?(?: ?de ?c\.? ?v\.?)?|s\.? ?a\.? ?s\.?|s\.? ?l\.?(?: ?u\.?)?|s\.? de r\.? ?l\.?(?: ?de ?c\.? ?v\.?)?|s\.? ?p\.? ?a\.?|s\.? ?r\.? ?l\.?|ltda\.?|ltd\.?|inc\.?|corp\.?|llc|gmbh|cia\.?|e\.? ?i\.? ?r\.? ?l\.?|s\.? ?c\.?)\s*$"
@@ -103,6 +109,40 @@ def slip(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
 
 
+def token_slips(a: str, b: str) -> bool:
+    """Whether two keys of several tokens are equal up to one slip in each token, or up to one slip over all."""
+    if slip(a, b):
+        return True
+    ta, tb = a.split(" "), b.split(" ")
+    return len(ta) == len(tb) > 1 and all(x == y or (min(len(x), len(y)) >= 4 and slip(x, y)) for x, y in zip(ta, tb, strict=True))
+
+
+def soft_similarity(*tokens: tuple[Column, Column]) -> Column:
+    """Soft weighted similarity of two names from (similarity, weight) of their tokens, matched one to one.
+
+    A similarity of null is a token that one name leaves out: it counts neither way. One of 0 is a contradiction and
+    weighs 1, as the rarest token does. 0 if nothing matches.
+    """
+    zero = F.lit(0.0)
+    both = [(F.coalesce(sim, F.lit(-1.0)), weight) for sim, weight in tokens]
+    gain, total = zero, zero
+    for sim, weight in both:
+        gain = gain + F.when(sim > 0, sim * weight).otherwise(0.0)
+        total = total + F.when(sim > 0, weight).when(sim == 0, 1.0).otherwise(0.0)
+    return F.when(total > 0, gain / F.greatest(total, F.lit(1e-9))).otherwise(0.0)
+
+
+def typed_alike(a: Column, b: Column) -> Column:
+    """Similarity of tokens that are equal up to one slip: 1, or less the share of a letter."""
+    return F.when(a == b, 1.0).otherwise(1 - 1 / F.greatest(F.length(a), F.length(b), F.lit(1)))
+
+
+def rarity(names: DataFrame, token: str, total: int) -> DataFrame:
+    """(``token``, ``peso``): weight of each token by its inverse frequency among ``total`` names, in (0, 1]; nearly 1 for tokens that occur once."""
+    df = names.groupBy(token).agg(F.count("*").alias("n"))
+    return df.select(token, (F.log1p(F.lit(float(total)) / F.col("n")) / F.log1p(F.lit(float(max(total, 1))))).alias("peso"))
+
+
 def abbreviates(short: str, full: str) -> bool:
     """Whether ``short`` is made of letters of ``full`` in order, with the same first letter."""
     if not short or short[0] != full[0] or len(short) >= len(full):
@@ -188,7 +228,7 @@ def _udf(fn, schema: str, *cols: Column) -> Column:
 
 
 def similar_keys(keys: DataFrame) -> DataFrame:
-    """(``a`` < ``b``) of the strings of ``keys`` (column ``k``) that differ by one slip.
+    """(``a`` < ``b``) of the strings of ``keys`` (column ``k``) that differ by one slip; of several tokens, also by one in each, where the q-grams still show it.
 
     Prefix filter: q-grams are ordered from rare to frequent, and two sets of that similarity share one of their first
     grams; only those are joined. This holds for sets of ``PREFIXED`` grams and more. Strings of fewer grams, and such as
@@ -215,12 +255,14 @@ def similar_keys(keys: DataFrame) -> DataFrame:
 
     def joined(on: DataFrame) -> DataFrame:
         pairs = on.select("g", F.col("k").alias("a")).join(on.select("g", F.col("k").alias("b")), "g")
-        return pairs.where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 2) >= 0)).select("a", "b")
+        several = F.when(F.contains("a", F.lit(" ")) & F.contains("b", F.lit(" ")), 2).otherwise(1)
+        near = F.when(several == 2, F.levenshtein("a", "b", 4)).otherwise(F.levenshtein("a", "b", 2)) >= 0
+        return pairs.where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= several) & near).select("a", "b")
 
     pairs = joined(first).unionByName(joined(short)).distinct()
 
     def ok(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([slip(p, q) for p, q in zip(x, y, strict=True)])
+        return pd.Series([token_slips(p, q) for p, q in zip(x, y, strict=True)])
 
     ok.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
     return pairs.where(F.pandas_udf(ok, "boolean")("a", "b"))
@@ -280,8 +322,12 @@ def link_orgs(values: DataFrame) -> DataFrame:
     both = slips.unionByName(slips.select(F.col("b").alias("a"), F.col("a").alias("b")))
     key = lambda m, s: F.concat(F.col(m), F.lit("|"), F.col(s))
     other = full.select(F.col("marca").alias("b"), F.col("sector").alias("sb"))
-    typed = full.select(F.col("marca").alias("a"), F.col("sector").alias("sa")).join(both, "a").join(other, "b").where("sa = sb and a < b")
-    edges = typed.select(key("a", "sa").alias("a"), key("b", "sb").alias("b"))
+    total = parsed.count()
+    brands, sectors_ = rarity(parsed, "marca", total), rarity(parsed.where("sector <> ''"), "sector", total)
+    typed = full.select(F.col("marca").alias("a"), F.col("sector").alias("sa")).join(both, "a").join(other, "b").where("a < b")
+    typed = typed.join(brands.toDF("a", "wa"), "a").join(brands.toDF("b", "wb"), "b").join(sectors_.toDF("sa", "ws"), "sa")
+    alike = soft_similarity((typed_alike(F.col("a"), F.col("b")), F.greatest("wa", "wb")), (F.when(F.col("sa") == F.col("sb"), 1.0).otherwise(0.0), F.col("ws")))
+    edges = typed.where(alike >= SOFT).select(key("a", "sa").alias("a"), key("b", "sb").alias("b"))
     # a brand alone belongs to the one organisation of that brand; if it is mistyped, to the one of the brand it resembles
     groups = components(full.select(key("marca", "sector").alias("nodo")), edges)
     owners = full.select("marca", key("marca", "sector").alias("nodo")).join(groups, "nodo")
@@ -322,21 +368,33 @@ def link_persons(values: DataFrame) -> DataFrame:
     parsed = values.select("valor", _udf(lambda v: parse_person(v, given, nicknames), "nombre string, ap1 string, ap2 string", F.col("valor")).alias("p")).select("valor", "p.*")
     parsed = cut(parsed.where("ap1 <> ''"))
     whole = ~F.col("nombre").contains(" ") & ~F.col("nombre").endswith(".") & (F.col("ap2") != "") & ~F.col("ap2").endswith(".")
-    full = parsed.where(whole).select("nombre", "ap1", "ap2").distinct()
+    full = cut(parsed.where(whole).select("nombre", "ap1", "ap2").distinct())
     key = F.concat_ws("|", "nombre", "ap1", "ap2")
-    names = full.select(F.concat("ap1", F.lit(" "), "ap2").alias("k"), "nombre", key.alias("nodo"))
+    total = full.count()
+    for c, w in (("nombre", "wn"), ("ap1", "w1"), ("ap2", "w2")):
+        full = full.join(rarity(full, c, total).toDF(c, w), c)
+    full = cut(full)
+    names = full.select(F.concat("ap1", F.lit(" "), "ap2").alias("k"), "nombre", "ap1", "ap2", "wn", "w1", "w2", key.alias("nodo"))
     slips = similar_keys(names.select("k"))
-    left = names.select(F.col("k").alias("a"), "nombre", F.col("nodo").alias("na"))
-    right = names.select(F.col("k").alias("b"), F.col("nombre").alias("nombre_b"), F.col("nodo").alias("nb"))
-    edges = slips.join(left, "a").join(right, "b").where("nombre = nombre_b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    left = names.select(F.col("k").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names.columns if c != "k"])
+    right = names.select(F.col("k").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names.columns if c != "k"])
+    same_name = F.when(F.col("a_nombre") == F.col("b_nombre"), 1.0).otherwise(0.0)
+    part = lambda c, w: (typed_alike(F.col(f"a_{c}"), F.col(f"b_{c}")), F.greatest(f"a_{w}", f"b_{w}"))
+    alike = soft_similarity((same_name, F.col("a_wn")), part("ap1", "w1"), part("ap2", "w2"))
+    edges = slips.join(left, "a").join(right, "b").where(alike >= SOFT).select(F.col("a_nodo").alias("a"), F.col("b_nodo").alias("b"))
     groups = cut(components(names.select("nodo"), edges))
-    people = full.withColumn("nodo", key).join(groups, "nodo").select("nombre", "ap1", "ap2", "grupo")
+    people = full.withColumn("nodo", key).join(groups, "nodo").select("nombre", "ap1", "ap2", "wn", "w1", "w2", "grupo")
     # shortened forms go to the one person whom they fit
     part = cut(parsed.where(~whole).select("valor", F.split("nombre", " ").alias("posibles"), "nombre", F.col("ap1").alias("s1"), F.col("ap2").alias("s2")))
-    fits_name = F.when(F.col("p.nombre").endswith("."), F.substring("q.nombre", 1, 1) == F.substring("p.nombre", 1, 1)).otherwise(F.expr("array_contains(p.posibles, q.nombre)"))
-    fits_second = F.when(F.col("p.s2") == "", True).when(F.col("p.s2").endswith("."), F.substring("q.ap2", 1, 1) == F.substring("p.s2", 1, 1)).otherwise((F.col("p.s2") == F.col("q.ap2")))
+    yes = lambda c, sim: F.when(c, sim).otherwise(0.0)
+    name_sim = (
+        F.when(F.col("p.nombre").endswith("."), yes(F.substring("q.nombre", 1, 1) == F.substring("p.nombre", 1, 1), INITIAL))
+        .when(F.col("p.nombre") == F.col("q.nombre"), 1.0).otherwise(yes(F.expr("array_contains(p.posibles, q.nombre)"), PET))
+    )
+    second_sim = F.when(F.col("p.s2") == "", F.lit(None).cast("double")).when(F.col("p.s2").endswith("."), yes(F.substring("q.ap2", 1, 1) == F.substring("p.s2", 1, 1), INITIAL)).otherwise(yes(F.col("p.s2") == F.col("q.ap2"), 1.0))
+    fits = lambda first, second: soft_similarity((name_sim, F.col("q.wn")), (first, F.col("q.w1")), (second, F.col("q.w2"))) >= SOFT
     p, q = part.alias("p"), people.alias("q")
-    exact = p.join(q, F.col("p.s1") == F.col("q.ap1")).where(fits_name & fits_second).select("p.valor", "grupo")
+    exact = p.join(q, F.col("p.s1") == F.col("q.ap1")).where(fits(F.lit(1.0), second_sim)).select("p.valor", "grupo")
     once = lambda df: df.groupBy("valor").agg(F.count_distinct("grupo").alias("n"), F.min("grupo").alias("grupo"))
     first = cut(once(exact))
     # mistyped surnames in shortened forms
@@ -346,8 +404,10 @@ def link_persons(values: DataFrame) -> DataFrame:
     one = rest.where("s2 = '' or endswith(s2, '.')").withColumn("k", F.col("s1"))
     typed = similar_keys(known.select("k").unionByName(two.select("k")).unionByName(people.select(F.col("ap1").alias("k"))).unionByName(one.select("k")))
     typed = cut(typed.unionByName(typed.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    found2 = two.join(typed, two.k == typed.a).select("valor", "posibles", "nombre", F.col("b").alias("k")).alias("p").join(known.alias("q"), F.col("p.k") == F.col("q.k")).where(fits_name).select("p.valor", "grupo")
-    found1 = one.join(typed, one.k == typed.a).select("valor", "posibles", "nombre", F.col("b").alias("s1"), "s2").alias("p").join(q, F.col("p.s1") == F.col("q.ap1")).where(fits_name & fits_second).select("p.valor", "grupo")
+    found2 = two.join(typed, two.k == typed.a).select("valor", "posibles", "nombre", "s1", "s2", F.col("b").alias("k")).alias("p").join(known.alias("q"), F.col("p.k") == F.col("q.k"))
+    found2 = found2.where(fits(typed_alike(F.col("p.s1"), F.col("q.ap1")), typed_alike(F.col("p.s2"), F.col("q.ap2")))).select("p.valor", "grupo")
+    found1 = one.join(typed, one.k == typed.a).select("valor", "posibles", "nombre", "s1", "s2", "b").alias("p").join(q, F.col("p.b") == F.col("q.ap1"))
+    found1 = found1.where(fits(typed_alike(F.col("p.s1"), F.col("q.ap1")), second_sim)).select("p.valor", "grupo")
     home = first.unionByName(once(found1.unionByName(found2))).where("n = 1").select("valor", "grupo")
     placed = parsed.where(whole).withColumn("nodo", key).join(groups, "nodo").select("valor", "grupo").unionByName(home)
     # short forms of people who never occur in full meet in their own canonical form

@@ -59,6 +59,16 @@ def test_similar_keys_of_short_words_equal_brute_force(spark):
     assert {("kavak", "kvaak"), ("kofnio", "konfio")} <= got == {(a, b) for a in words for b in words if a < b and N.slip(a, b)}
 
 
+def test_soft_similarity_weighs_by_rarity(spark):
+    rows = [(1.0, 0.9, 1.0, 0.2), (1.0, 0.9, 0.0, 0.2), (0.75, 0.9, 1.0, 0.2), (0.8, 0.2, 1.0, 0.9), (0.8, 0.9, 1.0, 0.2), (1.0, 0.9, None, 0.2), (None, 0.9, None, 0.2), (0.0, 0.1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "s1 double, w1 double, s2 double, w2 double")
+    got = [round(r[0], 3) for r in df.select(N.soft_similarity((F.col("s1"), F.col("w1")), (F.col("s2"), F.col("w2")))).collect()]
+    assert got == [1.0, 0.474, 0.795, 0.964, 0.836, 1.0, 0.0, 0.5]  # a slip in a rare token costs more; a contradiction decides
+    w = {r.t: r.peso for r in N.rarity(spark.createDataFrame([("a",)] * 50 + [("b",)], "t string"), "t", 51).collect()}
+    assert w["a"] < 0.2 < 0.99 < w["b"] <= 1
+    assert N.token_slips("morbengo langon", "morbemgo lamgon") and not N.token_slips("morbengo langon", "morbemgo lamgom") and not N.token_slips("gil rey", "gal ley")
+
+
 def test_nicknames_are_learned_from_all_values(spark):
     # more than 20,000 values with marks, of which only the last states the nickname
     filler = spark.range(30_000).select(F.concat(F.lit("Isabel («Isa») Morbengo "), F.col("id").cast("string")).alias("valor"))
@@ -130,7 +140,7 @@ def damaged(rng, words, n):
 
 def near(classes, common):
     run = D.SortedRuns(classes.sparkSession, D.index_folder(classes.sparkSession))
-    run.add(D.forest(classes, common), "clase")
+    D.write_forest(run, classes, common)
     return D.near_classes(classes, common, run)
 
 
@@ -167,11 +177,8 @@ def test_rejected_leader_of_large_group_keeps_links(spark, monkeypatch):
 def test_prefixes_are_widened_to_the_recall_target():
     found = lambda similarity, depth: 1 - (1 - similarity**depth) ** D.TREES
     d = D.prefix_depth()
-    assert found(D.SIMILARITY, d) >= D.RECALL > found(D.SIMILARITY, d + 1)
-    for n in range(1, 40):
-        depth = D.LABEL - D.free_bits(n) // D.VALUE_BITS
-        assert depth == 2 or found(min(D.SIMILARITY, (n - 1) / (n + 1) if n > 5 else 1), depth) >= D.RECALL
-    assert D.free_bits(6) > D.free_bits(8) > D.free_bits(12)
+    assert d < D.LABEL and found(D.SIMILARITY, d) >= D.RECALL > found(D.SIMILARITY, d + 1)
+    assert D.prefix_depth(D.SAME_WORDS) == 2 and found(D.SAME_WORDS, 2) >= D.RECALL
 
 
 def test_recall_of_similar_labels(spark):
