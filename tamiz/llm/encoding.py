@@ -1,11 +1,12 @@
 """Text that was decoded with the wrong character encoding (problem 6).
 
-A smoothed character n-gram model is trained on clean records. For each suspicious text every encode-decode chain is
-tried: UTF-8 bytes read in a single-byte code page (also twice or three times), and bytes of one code page read in
-another, token by token, because a text may be garbled in part only. The likeliest candidate is accepted when its
-log-likelihood exceeds that of the text as it stands by a margin that was validated on clean records. What remains
-garbled (replacement characters) is reported as not recoverable; a damaged last character, which comes from a cut, is
-no case.
+A smoothed character n-gram model is trained on clean records: n-grams are counted over all of them in the cluster, but for
+a held-out share. For each suspicious text every encode-decode chain of bounded length is scored: UTF-8 bytes read in a
+single-byte code page, up to ``CHAIN`` times and in any mixture of code pages, over the whole text; then, token by token,
+because a text may be garbled in part only, the same and bytes of one code page read in another, in any order. The
+likeliest candidate is accepted when its log-likelihood exceeds that of the text as it stands by a margin, which is
+validated on the held-out clean records with the same chains. What remains garbled (replacement characters) is reported as
+not recoverable; a damaged last character, which comes from a cut, is no case.
 
 Null, empty and blank texts are clean. Texts are processed whole, whatever their length.
 """
@@ -17,11 +18,12 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.sampling import bounded_sample
+from tamiz.session import cut
 
 # ---- fixed values -------------------------------------------------------------------------------------------------
 #: Code pages in which UTF-8 bytes are found to be read.
@@ -32,9 +34,12 @@ CONFUSED = (("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), (
 CLEAN = "áéíóúüñÁÉÍÓÚÜÑãõâêôçàÃÕÂÊÔÇÀ¿¡«»“”‘’…—–ªº°•·®©€£™\xa0↑↓→←✕✓✉☰≡▶★½−±×⁻⁶"
 # ---- end of the fixed values --------------------------------------------------------------------------------------
 
-#: Rows of the sample of clean records on which the model is trained, and of that on which the margin is validated.
-MODEL_ROWS, VALIDATION_ROWS = 20_000, 4_000
-ORDER = 3
+#: About so many clean records are held out to validate the margin; all others train the model.
+VALIDATION_ROWS = 4_000
+#: Least share of all trigrams that a trigram of the model has, so that their number is bounded.
+GRAM_SHARE = 1e-7
+#: Most steps of an encode-decode chain: over the whole text, and over a token.
+CHAIN, TOKEN_CHAIN = 3, 2
 
 _LOW = "a-záéíóúñãõç"
 SUSPICIOUS = re.compile(
@@ -119,60 +124,77 @@ def plain_score(text: str) -> float:
 _ODD = re.compile(rf"[{_LOW}][·±ÁÉÍÓÚÑÀÇÃÕÂÊÔªº°](?=[{_LOW} ,.;:?!”»)]|$)|[ÃÂ][\xa0-\xbf€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œ]|(?<= )[ÚÓ](?= [{_LOW}])")
 
 
+def _chains(text: str, steps: list[Callable[[str], str]], length: int) -> list[str]:
+    """Everything that chains of up to ``length`` steps make of ``text``, each once, in order of discovery."""
+    seen, front = {text}, [text]
+    out: list[str] = []
+    for _ in range(length):
+        front = [c for t in front if t is text or not t.isascii() for c in dict.fromkeys(step(t) for step in steps) if c not in seen and not seen.add(c)]
+        out += front
+    return out
+
+
+_REREADS: list[Callable[[str], str]] = [lambda t, c=c: _reread(t, c) for c in READ_AS]
+_STEPS: list[Callable[[str], str]] = [*_REREADS, *(lambda t, m=m: t.translate(m) for m in _SWAPS)]
+
+
+def _likeliest(candidates: list[str], text: str, score: Score, margin: float, left: str = "", right: str = "") -> str:
+    """The candidate of the highest score if it exceeds that of ``text`` by the margin, else ``text``; the first of equals."""
+    if not candidates:
+        return text
+    have = score(left + text + right)
+    best, gain = text, margin
+    for cand in candidates:
+        more = score(left + cand + right) - have
+        if more > gain:
+            best, gain = cand, more
+    return best
+
+
+def _tokens(text: str) -> Iterator[tuple[int, list[str], str]]:
+    """(position, all parts, last character before with a blank) of the tokens that aren't ASCII."""
+    parts = _SPLIT.split(text)
+    for k, part in enumerate(parts):
+        if part and not part.isascii():
+            yield k, parts, (parts[k - 2][-1:] + " " if k > 1 else " ")
+
+
 def repair(text: str, score: Score = plain_score, margin: float = 2.0) -> tuple[str, bool, bool]:
     """The likeliest original, whether anything was repaired, and whether unrecoverable damage remains inside."""
     if not SUSPICIOUS.search(text):
         return text, False, False
     before = text
-    for _ in range(3):
-        have = score(text)
-        best, gain = text, margin
-        for codec in READ_AS:
-            cand = _reread(text, codec)
-            if cand != text and (more := score(cand) - have) > gain:
-                best, gain = cand, more
-        if best == text:
-            break
-        text = best
+    text = _likeliest(_chains(text, _REREADS, CHAIN), text, score, margin)
     if SUSPICIOUS.search(text):
-        parts = _SPLIT.split(text)
-        for k, part in enumerate(parts):
-            if part.isascii() or not part:
-                continue
-            left, right = (parts[k - 2][-1:] + " " if k > 1 else " "), " "
-            have = score(left + part + right)
-            best, gain = part, margin
-            for swap in _SWAPS:
-                cand = part.translate(swap)
-                if cand != part and (more := score(left + cand + right) - have) > gain:
-                    best, gain = cand, more
-            parts[k] = best
-        text = "".join(parts)
+        parts: list[str] = []
+        for k, parts, left in _tokens(text):  # noqa: B007
+            parts[k] = _likeliest(_chains(parts[k], _STEPS, TOKEN_CHAIN), parts[k], score, margin, left, " ")
+        text = "".join(parts) or text
     body = END_MARK.sub("", text)
     lost = any(m.end() < len(body) for m in _LOST.finditer(body))
     return text, text != before, lost
 
 
 class CharModel:
-    """Smoothed character n-gram model (interpolated over orders 1 to 3) with the validated margin."""
-
-    def __init__(self, texts: list[str]):
-        counts: list[Counter[str]] = [Counter() for _ in range(ORDER + 1)]
-        for t in texts:
-            t = f"  {t} "
-            for n in range(1, ORDER + 1):
-                counts[n].update(t[i : i + n] for i in range(len(t) - n + 1))
-        total = sum(counts[1].values()) + 1
+    """Smoothed character n-gram model (interpolated over orders 1 to 3) from counts of trigrams, with the validated margin."""
+
+    def __init__(self, trigrams: dict[str, int], margin: float = 2.0):
+        pairs: Counter[str] = Counter()
+        single: Counter[str] = Counter()
+        follow: Counter[str] = Counter()
+        for g, c in trigrams.items():
+            pairs[g[1:]] += c
+            follow[g[:2]] += c
+            single[g[2]] += c
+        start: Counter[str] = Counter()
+        for g, c in pairs.items():
+            start[g[0]] += c
+        total = sum(single.values()) + 1
         self.floor = math.log(1e-6)
-        self.logp: dict[str, float] = {}
-        for gram, c in counts[3].items():
-            p3 = c / counts[2][gram[:2]]
-            p2 = counts[2][gram[1:]] / counts[1][gram[1]]
-            p1 = counts[1][gram[2]] / total
-            self.logp[gram] = math.log(0.7 * p3 + 0.2 * p2 + 0.1 * p1)
-        self.pairs = {g: math.log(0.1 * c / counts[1][g[0]]) for g, c in counts[2].items()}
-        self.single = {g: math.log(0.01 * c / total) for g, c in counts[1].items()}
-        self.margin = 2.0
+        self.logp = {g: math.log(0.7 * c / follow[g[:2]] + 0.2 * pairs[g[1:]] / start[g[1]] + 0.1 * single[g[2]] / total) for g, c in trigrams.items()}
+        self.pairs = {g: math.log(0.1 * c / start[g[0]]) for g, c in pairs.items()}
+        self.single = {g: math.log(0.01 * c / total) for g, c in single.items()}
+        self.margin = margin
 
     def score(self, text: str) -> float:
         t, logp, pairs, single, floor = f"  {text} ", self.logp, self.pairs, self.single, self.floor
@@ -187,26 +209,61 @@ class CharModel:
             out += v
         return out
 
-    def validate(self, texts: list[str]) -> None:
-        """Margin: above every gain that any chain reaches on clean records, but for one in a thousand."""
-        gains = [2.0]
-        for t in texts:
-            if t.isascii():
-                continue
-            have = self.score(t)
-            cands = {_reread(t, c) for c in READ_AS}
-            gains.append(max([0.0, *(self.score(c) - have for c in cands if c != t)]))
-        gains.sort()
-        self.margin = max(2.0, gains[min(len(gains) - 1, int(0.999 * len(gains)))] + 0.5)
-
-
-def train(texts: DataFrame, key: str, text_col: str) -> CharModel:
-    """Train on a bounded sample (``MODEL_ROWS`` rows and ``VALIDATION_ROWS`` held-out ones, by hash of ``key``) of clean records."""
-    rows = bounded_sample(texts.where(F.col(text_col).isNotNull()), key, MODEL_ROWS + VALIDATION_ROWS).select(F.col(text_col).alias("t")).collect()
-    sample = sorted(r.t for r in rows if not SUSPICIOUS.search(r.t))
-    held_out = sample[:: max(1, len(sample) // VALIDATION_ROWS)][:VALIDATION_ROWS]
-    model = CharModel(sample or [" "])
-    model.validate(held_out)
+    def gain(self, text: str) -> float:
+        """The most that any chain, over the text or over one of its tokens, gains on ``text``."""
+        if text.isascii():
+            return 0.0
+        have = self.score(text)
+        out = max([0.0, *(self.score(c) - have for c in _chains(text, _REREADS, CHAIN))])
+        for k, parts, left in _tokens(text):
+            have = self.score(f"{left}{parts[k]} ")
+            out = max([out, *(self.score(f"{left}{c} ") - have for c in _chains(parts[k], _STEPS, TOKEN_CHAIN))])
+        return out
+
+
+def trigram_counts(texts: Iterator[pd.Series]) -> Counter[str]:
+    """Counts of the trigrams of texts, each with two blanks before it and one behind; counted in bulk."""
+    out: Counter[str] = Counter()
+    for series in texts:
+        joined = "".join(f"  {t} \0" for t in series)
+        cp = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        if len(cp) < 3:
+            continue
+        grams = (cp[:-2] << 42) | (cp[1:-1] << 21) | cp[2:]
+        grams = grams[(cp[:-2] > 0) & (cp[1:-1] > 0) & (cp[2:] > 0)]
+        values, counts = np.unique(grams, return_counts=True)
+        for v, c in zip(values.tolist(), counts.tolist(), strict=True):
+            out[chr(v >> 42) + chr(v >> 21 & 0x1FFFFF) + chr(v & 0x1FFFFF)] += c
+    return out
+
+
+def train(texts: DataFrame, text_col: str) -> CharModel:
+    """Train on all clean records of ``texts`` but about ``VALIDATION_ROWS`` held-out ones (by hash of the text), which set the margin.
+
+    The margin lies above every gain that a chain reaches on held-out records, but for one in a thousand. Equal texts are
+    held out together. Trigrams with a zero character are left out.
+    """
+    clean = texts.where(F.col(text_col).isNotNull() & ~F.col(text_col).rlike(SUSPICIOUS.pattern)).select(F.col(text_col).alias("t"))
+    n = clean.count()
+    share = min(0.5, VALIDATION_ROWS / max(n, 1))
+    held = F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = trigram_counts(pdf["t"] for pdf in batches)
+        yield pd.DataFrame({"g": list(rows), "n": list(rows.values())}, columns=["g", "n"])
+
+    counted = clean.where(~held).mapInPandas(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counted = cut(counted)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    model = CharModel({r.g: r.n for r in counted.where(F.col("n") >= GRAM_SHARE * total).collect()} or {"   ": 1})
+
+    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"g": [model.gain(t) for t in pdf["t"]]})
+
+    reached = sorted([2.0, *(r.g for r in clean.where(held).mapInPandas(gains, "g double").where("g > 0").collect())])
+    rank = int(0.001 * n * share)
+    model.margin = max(2.0, (reached[-1 - rank] if rank < len(reached) else 2.0) + 0.5)
     return model
 
 
@@ -237,8 +294,8 @@ def repair_texts(df: DataFrame, id_col: str, text_col: str, model: CharModel) ->
 
 def p6_repaired(evidencias: DataFrame, prospectos: DataFrame) -> DataFrame:
     """Affected rows of both tables with the restored text."""
-    both = evidencias.select("id", F.col("cita_textual").alias("t")).unionByName(prospectos.select("id", F.col("discurso_corporativo").alias("t")))
-    model = train(both, "id", "t")
+    both = evidencias.select(F.col("cita_textual").alias("t")).unionByName(prospectos.select(F.col("discurso_corporativo").alias("t")))
+    model = train(both, "t")
     a = repair_texts(evidencias, "id", "cita_textual", model).withColumn("tabla", F.lit("evidencias"))
     b = repair_texts(prospectos, "id", "discurso_corporativo", model).withColumn("tabla", F.lit("prospectos"))
     return a.unionByName(b)

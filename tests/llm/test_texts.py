@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def garbled(text, real, read):
 @pytest.mark.parametrize("real,read", GARBLE)
 @pytest.mark.parametrize("text", CLEAN)
 def test_repair_restores(text, real, read):
-    model = E.CharModel(CLEAN * 30)
+    model = E.CharModel(E.trigram_counts([pd.Series(CLEAN * 30)]))
     fixed, repaired, lost = E.repair(garbled(text, real, read), model.score, model.margin)
     assert fixed == text and repaired and not lost
 
@@ -93,6 +94,28 @@ def test_repair_leaves_clean(text):
     assert E.repair(text) == (text, False, False)
 
 
+def test_mixed_chains():
+    model = E.CharModel(E.trigram_counts([pd.Series(CLEAN * 30)]))
+    word = "información"
+    twice = word.encode("utf-8").decode("cp1252").encode("utf-8").decode("latin-1")  # two code pages, one after the other
+    assert E.repair(f"La {twice} llega", model.score, model.margin)[0] == f"La {word} llega"
+    assert word in E._chains(word.encode("utf-8").decode("mac_roman").encode("utf-8").decode("cp1252"), E._REREADS, E.CHAIN)
+    swapped = word.encode("cp1252").decode("cp850").encode("utf-8").decode("cp1252")  # a swap under a re-reading
+    assert word in E._chains(swapped, E._STEPS, E.TOKEN_CHAIN)
+
+
+def test_margin_is_validated_on_other_records(spark, monkeypatch):
+    monkeypatch.setattr(E, "VALIDATION_ROWS", 900)
+    letters = "abcdefghijklmnopqrst"
+    rows = [(f"({a}{b}{c}) á",) for a in letters for b in letters for c in letters]
+    df = spark.createDataFrame(rows, "t string")
+    model = E.train(df, "t")
+    seen = {t for (t,) in rows if t[1:4] in model.logp}
+    held = {r.t for r in df.where(F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1_000_000)) < int(900 / len(rows) * 1_000_000)).collect()}
+    assert 600 < len(held) < 1200 and not seen & held and seen | held == {t for (t,) in rows}
+    assert model.margin >= 2.0 and E.train(df.limit(0), "t").margin >= 2.0
+
+
 def test_repair_marks_loss():
     assert E.repair("present� su pol�tica de devoluciones")[2]
     assert not E.repair("el cierre de su l�")[2] and not E.repair("pidió una versi� […]")[2]
