@@ -101,7 +101,15 @@ def slug(c: Column) -> Column:
 
 
 MAILBOX = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-GENERIC_MAILBOXES = ("info", "contacto", "contact", "hola", "hello", "ventas", "sales", "soporte", "support", "admin", "noreply", "no-reply", "prensa", "press")
+# ---- fixed values -------------------------------------------------------------------------------------------------
+GENERIC_MAILBOXES = (
+    "info", "contact", "contacto", "support", "soporte", "noreply", "no-reply", "no.reply", "hello", "hola", "admin", "webmaster", "press", "prensa", "sales",
+    "ventas", "help", "helpdesk", "service", "team", "legal", "hi", "correo", "mail", "careers", "jobs", "empleo", "rrhh", "hr", "newsletter", "notificaciones",
+    "seguridad", "privacy", "privacidad", "marketing", "comercial", "reclamaciones", "postmaster", "abuse", "billing", "contactanos", "contactus", "soporte_tecnico",
+)
+# ---- end of the fixed values --------------------------------------------------------------------------------------
+#: Generic local parts, alone or followed by a separator.
+GENERIC_LOCAL = "^(" + "|".join(b.replace(".", r"\.") for b in GENERIC_MAILBOXES) + r")([._-].*)?$"
 
 
 def mailboxes(text: Column) -> Column:
@@ -111,7 +119,7 @@ def mailboxes(text: Column) -> Column:
 
 def mailbox_generic(mail: Column) -> Column:
     """Whether the local part names a function, not a person."""
-    return F.split_part(mail, F.lit("@"), F.lit(1)).isin(*GENERIC_MAILBOXES)
+    return F.split_part(mail, F.lit("@"), F.lit(1)).rlike(GENERIC_LOCAL)
 
 
 def size_band(n: Column) -> Column:
@@ -144,8 +152,36 @@ def mailbox_reason(c: Column) -> Column:
     m = normal_mailbox(c)
     local, domain = F.split_part(m, F.lit("@"), F.lit(1)), F.split_part(m, F.lit("@"), F.lit(2))
     ending = F.regexp_extract(domain, r"\.([^.]+)$", 1)
-    generic = F.regexp_extract(local, r"^([^._-]+|no-reply)", 1).isin(*GENERIC_MAILBOXES) | local.isin(*GENERIC_MAILBOXES)
     return (
-        F.when(m.isNull() | ~m.rlike(r"^[^@\s]+@[a-z0-9-]+(\.[a-z0-9-]+)+$"), "sintaxis").when(domain.isin(*PLACEHOLDER_DOMAINS), "dominio_de_ejemplo").when(ending.isin(*RESERVED_ENDINGS), "terminacion_reservada")
-        .when(ending.isin(*IMAGE_ENDINGS), "imagen").when(local.rlike(r"\.\.|^\.|\.$"), "puntos").when(local.rlike(r"^[^a-z]"), "inicio").when(generic, "generico").otherwise("")
+        F.when(m.isNull() | ~m.rlike(r"^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}$"), "sintaxis").when(domain.isin(*PLACEHOLDER_DOMAINS), "dominio_de_ejemplo").when(ending.isin(*RESERVED_ENDINGS), "terminacion_reservada")
+        .when(ending.isin(*IMAGE_ENDINGS), "imagen").when(local.rlike(r"\.\.|^\.|\.$"), "puntos").when(local.rlike(r"^[^a-z]"), "inicio").when(local.rlike(GENERIC_LOCAL), "generico").otherwise("")
     )
+
+
+def usable_mailboxes(found: Column) -> Column:
+    """The usable ones of an array of mailboxes, normalised, each once, in order."""
+    return F.array_distinct(F.filter(F.transform(found, normal_mailbox), lambda m: mailbox_reason(m) == ""))
+
+
+def tried_mailboxes(domain: Column, person: Column, boxes: tuple[str, ...]) -> Column:
+    """Candidate mailboxes of a domain, most likely first: patterns of the person's first and last word, then the usual boxes; empty without a domain."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(strip_accents(F.coalesce(person, F.lit("")))), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    first, last = F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(-1))
+    two = F.array(F.concat(first, F.lit("."), last), F.concat(F.substring(first, 1, 1), last), first, F.concat(first, last))
+    none = F.array().cast("array<string>")
+    local = F.concat(F.when(F.size(words) >= 2, two).when(F.size(words) == 1, F.array(first)).otherwise(none), F.array(*[F.lit(b) for b in boxes]))
+    return F.when(F.contains(domain, F.lit(".")), F.array_distinct(F.transform(local, lambda x: F.concat(x, F.lit("@"), domain)))).otherwise(none)
+
+
+def detected_company(title: Column, common: tuple[str, ...], sectors: tuple[str, ...]) -> Column:
+    """The first word of a headline that looks like a name, null if none does.
+
+    A name has three characters or more, or is an acronym, begins with a capital and is neither a common word nor one of a
+    sector. A trailing outlet doesn't count.
+    """
+    t = F.trim(title)
+    bare = F.trim(F.regexp_replace(t, r"\s+[-–|]\s+[^-–|]+$", ""))
+    words = F.regexp_extract_all(F.when(bare == "", t).otherwise(bare), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    other = F.array(*[F.lit(w) for w in (*common, *sectors)])
+    named = lambda w: (w.rlike(r"^\p{Lu}{2,}$") | ((F.length(w) >= 3) & w.rlike(r"^\p{Lu}"))) & ~F.array_contains(other, F.lower(strip_accents(w)))
+    return F.try_element_at(F.filter(words, named), F.lit(1))

@@ -13,24 +13,32 @@ from pyspark.sql import functions as F
 from tamiz import lexicon as L
 
 
-def dossiers(items: DataFrame) -> DataFrame:
-    """One row per ``org`` from items (``org``, ``id``, ``fuente``, ``fecha``, ``confianza_cent``, ``tags``, ``tipo``, ``calidad``).
+def dossiers(items: DataFrame, entities: DataFrame | None = None, keys: tuple[str, ...] = ("org",)) -> DataFrame:
+    """One row per ``org`` from items (``org``, ``id``, ``fuente``, ``fecha``, ``confianza_cent``, ``tags``, ``tipo``, ``categoria``, ``calidad``).
 
-    ``confianza`` is a noisy-or over sources (each with its best confidence), which rises with every independent source.
+    ``fuente`` names the independent source; rows with a blank one are each their own in ``confianza``, a noisy-or over
+    sources (each with its best confidence), which rises with every independent source, but don't count as sources.
+    ``entities``: (``org``, ``vertical``), one row each; without it there is no vertical. ``keys``: more columns make one dossier each.
     """
     flags = [F.max(F.coalesce(F.array_contains("tags", t), F.lit(False))).alias(f"__{t}") for t in L.PRIORITY]
     events = [F.max(F.col("tipo") == t).alias(f"__e_{t}") for t in L.EVENT_TYPES]
     best = F.max(F.struct("confianza_cent", (-F.col("id")).alias("i"), "calidad")).alias("mejor")
-    per_source = items.where("org is not null").groupBy("org", "fuente").agg(
-        F.count("*").alias("n"), F.max("confianza_cent").alias("mc"), F.count_if(F.col("fecha").isNotNull()).alias("fechadas"),
-        F.min("fecha").alias("desde"), F.max("fecha").alias("hasta"), best, *flags, *events,
+    doubt = 1 - F.col("confianza_cent") / 100.0
+    per_source = items.where("org is not null").groupBy(*keys, "fuente").agg(
+        F.count("*").alias("n"), F.when(F.col("fuente") != "", F.min(doubt)).otherwise(F.product(doubt)).alias("duda"), F.count_if(F.col("fecha").isNotNull()).alias("fechadas"),
+        F.min("fecha").alias("desde"), F.max("fecha").alias("hasta"), best, F.min(F.struct("id", "categoria")).alias("primera"), *flags, *events,
     )
     tag_set = F.array_compact(F.array(*[F.when(F.max(f"__{t}"), F.lit(t)) for t in L.PRIORITY]))
     event_set = F.array_compact(F.array(*[F.when(F.max(f"__e_{t}"), F.lit(t)) for t in L.EVENT_TYPES]))
-    d = per_source.groupBy("org").agg(
-        F.sum("n").alias("n"), F.count_if(F.col("fuente") != "").alias("fuentes"), (F.floor((1 - F.product(1 - F.col("mc") / 100.0)) * 1_000_000 + 0.5) / 1_000_000.0).alias("confianza"), F.sum("fechadas").alias("fechadas"),
-        F.min("desde").alias("desde"), F.max("hasta").alias("hasta"), F.max("mejor")["calidad"].alias("calidad"), tag_set.alias("tags"), event_set.alias("eventos"),
+    d = per_source.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.count_if(F.col("fuente") != "").alias("fuentes"), (F.floor((1 - F.product("duda")) * 1_000_000 + 0.5) / 1_000_000.0).alias("confianza"), F.sum("fechadas").alias("fechadas"),
+        F.min("desde").alias("desde"), F.max("hasta").alias("hasta"), F.max("mejor").alias("mejor"), F.min("primera")["categoria"].alias("categoria"), tag_set.alias("tags"), event_set.alias("eventos"),
     )
+    d = d.withColumn("calidad", F.col("mejor.calidad")).withColumn("mejor_cent", F.col("mejor.confianza_cent")).drop("mejor")
+    if entities is None:
+        d = d.withColumn("vertical", F.lit(""))
+    else:
+        d = d.join(entities.select("org", F.lower(F.trim("vertical")).alias("vertical")), "org", "left").withColumn("vertical", F.coalesce("vertical", F.lit("")))
     return with_hypothesis(d)
 
 
@@ -44,22 +52,55 @@ def patterns(tags: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.array_contains(tags, a) & F.array_contains(tags, b), F.lit(label)) for (a, b), label in L.COMBINATIONS]))
 
 
+def lookup(table: dict, key: Column) -> Column:
+    """Value of a constant table for a key; null for keys that it doesn't have."""
+    return F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]), key)
+
+
 def with_hypothesis(d: DataFrame) -> DataFrame:
-    """Adds ``patrones``, ``dominante``, ``hipotesis``, ``dolor``, ``cambio``, ``clase`` (A, B, C) and ``profundidad``."""
-    table = lambda m: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))])
+    """Adds ``patrones``, ``dominante``, ``hipotesis``, ``dolor``, ``cambio``, ``clase`` (A, B, C), ``profundidad`` and the scoring of ``scored``."""
     any_of = lambda names: F.arrays_overlap("tags", F.array(*[F.lit(t) for t in names]))
     d = d.withColumn("patrones", patterns(F.col("tags"))).withColumn("dominante", dominant(F.col("tags")))
-    single = F.try_element_at(table(L.HYPOTHESIS), F.col("dominante"))
-    return (
-        d.withColumn("hipotesis", F.coalesce(F.try_element_at("patrones", F.lit(1)), single, F.lit("")))
+    amplifier = F.coalesce(lookup({f"{v}|{t}": x for v, ts in L.AMPLIFIER.items() for t, x in ts.items()}, F.concat_ws("|", "vertical", "dominante")), F.lit(1.0))
+    depth = F.least(F.floor(F.coalesce(lookup(L.DEPTH, F.col("dominante")), F.lit(0)) * amplifier), F.lit(100))
+    return scored(
+        d.withColumn("hipotesis", F.coalesce(F.try_element_at("patrones", F.lit(1)), lookup(L.HYPOTHESIS, F.col("dominante")), F.lit("")))
         .withColumn("dolor", any_of(L.PAIN)).withColumn("cambio", any_of(L.CHANGE))
         .withColumn("clase", F.when(F.col("dolor"), "A").when(F.col("cambio") | (F.col("dominante") == "lanzamiento"), "B").otherwise("C"))
-        .withColumn("profundidad", F.coalesce(F.try_element_at(table(L.DEPTH), F.col("dominante")), F.lit(0)).cast("long"))
+        .withColumn("profundidad", depth.cast("long"))
+    )
+
+
+def scored(d: DataFrame) -> DataFrame:
+    """Adds ``icp`` (interest, 0 to 100), ``intensidad``, ``secundaria`` (next distinct hypothesis, '' if none), ``viabilidad`` and ``decisor``.
+
+    The confidence is that of the best row, in whole hundredths; its tenth is rounded half to even.
+    """
+    pains = F.size(F.array_intersect("tags", F.array(*[F.lit(t) for t in L.PAIN])))
+    cents = F.greatest(F.lit(0), F.least(F.col("mejor_cent"), F.lit(100)))
+    tenth, rest = F.floor(cents / 10), cents % 10
+    tenth = tenth + F.when((rest > 5) | ((rest == 5) & (tenth % 2 == 1)), 1).otherwise(0)
+    of_vertical = F.col("vertical").isin(*L.VERTICALS)
+    icp = (
+        F.lit(10) + F.floor(F.col("profundidad") * 0.4) + F.when(of_vertical, 15).otherwise(0) + F.when(pains >= 2, 20).when(pains == 1, 15).when(F.col("cambio"), 5).otherwise(0) + tenth
+        + F.coalesce(lookup(L.QUALITY_POINTS, F.coalesce("calidad", F.lit(""))), F.lit(0))
+    )
+    intensity = F.when((pains >= 2) | ((pains >= 1) & (F.col("mejor_cent") >= 80)), "Alta").when((pains >= 1) | (F.col("cambio") & (F.col("mejor_cent") >= 70)), "Media").otherwise("Baja")
+    labels = F.array_compact(F.array(*[F.when(F.array_contains("tags", t), F.lit(L.HYPOTHESIS[t])) for t in L.PRIORITY]))
+    second = F.coalesce(F.try_element_at(F.filter(labels, lambda x: x != F.col("hipotesis")), F.lit(1)), F.lit(""))
+    depth, kind = F.col("profundidad"), F.col("clase")
+    viable = (
+        F.when((kind == "A") & ((depth >= 50) | ((depth >= 70) & of_vertical)), "alta").when((kind == "A") | ((kind == "B") & (depth >= 30) & of_vertical), "media")
+        .when((kind == "B") | (depth > 0), "baja").otherwise("descartable")
+    )
+    return (
+        d.withColumn("icp", F.least(icp, F.lit(100)).cast("long")).withColumn("intensidad", intensity).withColumn("secundaria", second)
+        .withColumn("viabilidad", viable).withColumn("decisor", F.coalesce(lookup(L.DECIDER, F.col("dominante")), F.lit(L.ANY_DECIDER)))
     )
 
 
 def validated(d: DataFrame) -> DataFrame:
-    """Adds sufficiency, contradictions, gaps, solidity, level of evidence, motives for blocking and the verdict."""
+    """Adds sufficiency, contradictions, gaps, solidity, level of evidence, motives for blocking, reproducibility and the verdict."""
     n, src, ntags = F.col("n"), F.col("fuentes"), F.size("tags")
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
     suf = F.lit(40.0) * F.least(n, F.lit(3)) / 3 + F.lit(30.0) * F.least(src, F.lit(2)) / 2 + F.lit(20.0) * F.col("fechadas") / n + F.lit(10.0) * F.least(ntags, F.lit(3)) / 3
@@ -68,11 +109,12 @@ def validated(d: DataFrame) -> DataFrame:
         F.array(
             F.when(F.col("dolor") & F.col("cambio") & (F.size("patrones") == 0), "dolor_y_crecimiento_sin_patron"),
             F.when(F.array_contains("eventos", "despido") & F.array_contains("eventos", "contratacion"), "eventos_opuestos"),
+            F.when((F.col("clase") == "A") & (F.col("viabilidad") == "descartable"), "prioridad_vs_viabilidad"),
         )
     )
     gaps = F.array_compact(
         F.array(
-            F.when(src < 2, "fuente_unica"), F.when(n < 3, "corpus_escaso"), F.when(F.col("fechadas") < n, "evidencia_sin_fecha"), F.when(ntags <= 1, "senal_unica"),
+            F.when(F.col("vertical") == "", "sin_vertical"), F.when(src < 2, "fuente_unica"), F.when(n < 3, "corpus_escaso"), F.when(F.col("fechadas") < n, "evidencia_sin_fecha"), F.when(ntags <= 1, "senal_unica"),
             F.when(F.size("patrones") == 0, "sin_convergencia"), F.when((F.col("profundidad") >= 70) & (n <= 1), "profundidad_sin_volumen"),
         )
     )
@@ -89,4 +131,12 @@ def validated(d: DataFrame) -> DataFrame:
         F.when(F.col("hipotesis") == "", "SIN_HIPOTESIS").when(F.size("motivos") > 0, "BLOQUEADA").when(c > 0, "NO_VALIDADA")
         .when((s >= 65) & (u >= 60), "VALIDADA").when((s >= 40) & (u >= 40), "VALIDADA_PARCIAL").otherwise("NO_VALIDADA")
     )
-    return d.withColumn("nivel", level).withColumn("motivos", motives).withColumn("veredicto", verdict)
+    blocked = (F.col("hipotesis") == "") | (F.size("motivos") > 0)
+    return d.withColumn("nivel", level).withColumn("motivos", motives).withColumn("bloqueada", blocked).withColumn("veredicto", verdict)
+
+
+def reproduced(d: DataFrame) -> DataFrame:
+    """(``org``, ``discrepancias``): declared fields (``clase``, ``hipotesis``) that a fresh inference from the signals doesn't give again."""
+    again = with_hypothesis(d.select("org", "tags", "vertical", "mejor_cent", "calidad", F.col("clase").alias("__clase"), F.col("hipotesis").alias("__hipotesis")))
+    differ = [F.when(~F.col(f"__{c}").eqNullSafe(F.col(c)), F.lit(c)) for c in ("clase", "hipotesis")]
+    return again.select("org", F.array_compact(F.array(*differ)).alias("discrepancias"))

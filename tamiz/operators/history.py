@@ -75,8 +75,8 @@ def accept_by_keys(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
 
 
 def concept_pairs(text: Column, stop: tuple[str, ...]) -> Column:
-    """Distinct pairs of neighbouring words (neither a stop word, together longer than five letters), sorted."""
+    """Distinct pairs of neighbouring words (neither a stop word, together longer than five characters with the blank), sorted."""
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")), " "), lambda x: x != "")
     pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.struct(F.get(words, i - 1).alias("a"), F.get(words, i).alias("b")))
-    good = F.filter(pair, lambda p: p["b"].isNotNull() & ~p["a"].isin(*stop) & ~p["b"].isin(*stop) & (F.length(p["a"]) + F.length(p["b"]) > 5))
+    good = F.filter(pair, lambda p: p["b"].isNotNull() & ~p["a"].isin(*stop) & ~p["b"].isin(*stop) & (F.length(p["a"]) + F.length(p["b"]) > 4))
     return F.array_sort(F.array_distinct(F.transform(good, lambda p: F.concat_ws(" ", p["a"], p["b"]))))

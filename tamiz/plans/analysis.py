@@ -7,14 +7,14 @@ from pyspark.sql import Window as W
 
 from tamiz.operators.dossier import dossiers, validated
 from tamiz.operators.ordering import positions
-from tamiz.plans.base import DOSSIERS, ITEMS, VALIDATED, items
+from tamiz.plans.base import DOSSIERS, ITEMS, VALIDATED, entities, items
 from tamiz.session import table
 
 joined = lambda c: F.array_join(c, "|")
 
 
 def build(spark, d):
-    return dossiers(items(spark, d))
+    return dossiers(items(spark, d), entities(spark, d))
 
 
 def battery(spark, d):
@@ -49,12 +49,6 @@ def block_motives(spark, d):
     return battery(spark, d).select(F.explode("motivos").alias("motivo")).groupBy("motivo").agg(F.count("*").alias("n"))
 
 
-def best_card(spark, d):
-    """The best item of each organisation: highest confidence, then lowest id; a map-side maximum, no sort."""
-    i = items(spark, d).where("org is not null").groupBy("org").agg(F.max(F.struct("confianza_cent", (-F.col("id")).alias("i"), "tipo")).alias("m"))
-    return i.select("org", (-F.col("m.i")).alias("id"), "m.confianza_cent", "m.tipo")
-
-
 def traceability(spark, d):
     e = table(spark, d, "evidencias")
     return e.groupBy("connector").agg(F.count("*").alias("n"), F.count_if(F.trim("url_fuente") != "").alias("con_url"), F.count_if(F.col("fecha_publicacion").isNotNull()).alias("con_fecha"), F.count("raw_hash").alias("con_crudo"))
@@ -88,19 +82,6 @@ def tensions(spark, d):
     return build(spark, d).where("hipotesis <> ''").groupBy("hipotesis").agg(F.count("*").alias("n"), F.count_if(F.col("dolor") & F.col("cambio")).alias("convergentes")).where("n >= 2")
 
 
-def clusters(spark, d):
-    return build(spark, d).groupBy("hipotesis", "clase").agg(F.count("*").alias("n"), F.min("org").alias("primera"), F.max("org").alias("ultima")).where("n >= 2")
-
-
-def outliers(spark, d):
-    """Organisations whose evidence count lies more than one deviation from the mean of their class."""
-    b = build(spark, d).select("org", "clase", "n")
-    s = b.groupBy("clase").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("k"))
-    # |n - s/k| > sqrt(q/k - (s/k)^2), in whole numbers
-    dev = F.col("n") * F.col("k") - F.col("s")
-    return b.join(F.broadcast(s), "clase").where(dev * dev > F.col("q") * F.col("k") - F.col("s") * F.col("s")).select("org", "clase", "n")
-
-
 def sentinels(spark, d):
     return build(spark, d).where("dolor and profundidad >= 70 and n <= 2").select("org", "profundidad", "n")
 
@@ -109,27 +90,18 @@ def corpus_quality(spark, d):
     return items(spark, d).groupBy("calidad").agg(F.count("*").alias("n"), F.sum("confianza_cent").alias("suma"), F.count("fecha").alias("fechadas"))
 
 
-def ranking(spark, d):
-    """The fifty organisations with most solid evidence."""
-    return battery(spark, d).orderBy(F.desc("solidez"), F.desc("n"), "org").limit(50).select("org", "solidez", "n", F.when(F.col("solidez") >= 60, "alta").when(F.col("solidez") >= 35, "media").otherwise("baja").alias("prioridad"))
-
-
-def opportunities(spark, d):
-    return battery(spark, d).where("veredicto in ('VALIDADA', 'VALIDADA_PARCIAL')").groupBy("hipotesis").agg(F.count("*").alias("n"), F.max("solidez").alias("mejor"))
-
-
-def compare_segments(spark, d):
+def compare_segments(spark, d, first: str = "Startup", second: str = "Corporativo"):
     """Tags of two categories side by side."""
     i = items(spark, d).select("categoria", F.explode("tags").alias("tag"))
     side = lambda c: i.where(F.col("categoria") == c).groupBy("tag").agg(F.count("*").alias("n"))
-    a, b = side("Startup").withColumnRenamed("n", "a"), side("Corporativo").withColumnRenamed("n", "b")
+    a, b = side(first).withColumnRenamed("n", "a"), side(second).withColumnRenamed("n", "b")
     zero = F.lit(0).cast("long")
     return a.join(b, "tag", "full_outer").select("tag", F.coalesce("a", zero).alias("startup"), F.coalesce("b", zero).alias("corporativo"), (F.coalesce("a", zero) - F.coalesce("b", zero)).alias("delta"))
 
 
-def compare_periods(spark, d):
+def compare_periods(spark, d, cut: str = "2024-06-01"):
     """Evidence of each organisation before and after a date; undated rows count as after."""
-    after = F.col("fecha").isNull() | (F.col("fecha") >= "2024-06-01")
+    after = F.col("fecha").isNull() | (F.col("fecha") >= cut)
     return items(spark, d).where("org is not null").groupBy("org").agg(F.count_if(~after).alias("antes"), F.count_if(after).alias("despues"))
 
 
@@ -138,38 +110,25 @@ def convergences(spark, d):
     return i.where("tipo = 'despido'").select("org").intersect(i.where("tipo = 'contratacion'").select("org"))
 
 
-def divergences(spark, d):
-    i = items(spark, d)
-    return i.where("tipo = 'ronda'").select("org").subtract(i.where("tipo = 'queja'").select("org"))
+def divergences(spark, d, a: str = "ronda", b: str = "queja"):
+    """Organisations with one kind of event and not the other, both ways."""
+    side = lambda t: items(spark, d).where(F.col("tipo") == t).select("org")
+    only = lambda x, y, name: side(x).subtract(side(y)).select(F.lit(name).alias("lado"), "org")
+    return only(a, b, "solo_a").unionByName(only(b, a, "solo_b"))
 
 
 def tag_jaccard(spark, d):
     """Similarity of the tag sets of each organisation and the next one by name within its class, in thousandths."""
-    b = build(spark, d).select("org", "clase", "tags")
-    w = W.partitionBy("clase").orderBy("org")
-    b = b.withColumn("otra", F.lead("org").over(w)).withColumn("t2", F.lead("tags").over(w)).where("otra is not null")
+    b = positions(build(spark, d).select("org", "clase", "tags"), "clase", ["org"], "p")
+    other = b.select("clase", (F.col("p") - 1).alias("p"), F.col("org").alias("otra"), F.col("tags").alias("t2"))
     u, i = F.size(F.array_union("tags", "t2")), F.size(F.array_intersect("tags", "t2"))
-    return b.select("org", "otra", F.when(u == 0, 0).otherwise(F.floor(i * 1000 / F.greatest(u, F.lit(1)))).cast("long").alias("milesimas"))
+    return b.join(other, ["clase", "p"]).select("org", "otra", F.when(u == 0, 0).otherwise(F.floor(i * 1000 / F.greatest(u, F.lit(1)))).cast("long").alias("milesimas"))
 
 
 def evidence_chain(spark, d):
-    """Items of each organisation numbered by date (undated last), source and id."""
-    i = items(spark, d).where("org is not null").select("org", "id", "fuente", F.coalesce("fecha", F.lit("sin_fecha")).alias("f"))
-    return positions(i, "org", ["f", "fuente", "id"], "posicion").select("org", "id", "posicion")
-
-
-def fingerprints(spark, d):
-    """sha256 of the canonical content of each dossier; independent of partitioning."""
-    b = build(spark, d)
-    text = F.concat_ws("|", "org", F.col("n").cast("string"), F.col("fuentes").cast("string"), F.coalesce("desde", F.lit("")), F.coalesce("hasta", F.lit("")), joined("tags"), "hipotesis")
-    return b.select("org", F.sha2(text, 256).alias("huella"))
-
-
-def corpus_version(spark, d):
-    """Version of each batch: sha256 of its size and of two sums over its record hashes, independent of order and partitions."""
-    part = lambda k: F.sum(F.conv(F.substring("hash_dedup", k, 10), 16, 10).cast("long")).cast("string")
-    e = table(spark, d, "evidencias").groupBy("lote").agg(F.count("*").alias("n"), part(1).alias("a"), part(11).alias("b"))
-    return e.select("lote", "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "a", "b"), 256).alias("version"))
+    """Items of each organisation numbered by date (undated first), outlet and text."""
+    i = items(spark, d).where("org is not null").select("org", "id", "medio", "texto", F.coalesce("fecha", F.lit("")).alias("f"))
+    return positions(i, "org", ["f", "medio", "texto", "id"], "posicion").select("org", "id", "posicion")
 
 
 def org_tag_matrix(spark, d):
@@ -180,7 +139,7 @@ def substance(spark, d):
     """Substance index in thousandths: volume, sources, months covered and confidence."""
     i = items(spark, d).where("org is not null")
     m = F.substring("fecha", 1, 4).cast("int") * 12 + F.substring("fecha", 6, 2).cast("int")
-    s = i.groupBy("org").agg(F.count("*").alias("n"), F.count_distinct("fuente").alias("f"), F.coalesce(F.max(m) - F.min(m) + 1, F.lit(0)).alias("meses"), F.sum("confianza_cent").alias("c"))
+    s = i.groupBy("org").agg(F.count("*").alias("n"), F.count_distinct(F.nullif("medio", F.lit(""))).alias("f"), F.coalesce(F.max(m) - F.min(m) + 1, F.lit(0)).alias("meses"), F.sum("confianza_cent").alias("c"))
     v = 0.4 * F.least(F.col("n") / 10, F.lit(1.0)) + 0.3 * F.least(F.col("f") / 6, F.lit(1.0)) + 0.2 * F.least(F.col("meses") / 6, F.lit(1.0)) + 0.1 * F.col("c") / F.col("n") / 100
     return s.select("org", "n", "f", F.col("meses").cast("long").alias("meses"), F.floor(v * 1000 + 0.5 + 1e-9).alias("milesimas"))
 
@@ -233,28 +192,21 @@ QUERIES = {
     "validation_battery": (validation_battery, f"WITH {VALIDATED} SELECT org, suficiencia, solidez, nivel, veredicto, {_j('contradicciones')} AS contradicciones, {_j('vacios')} AS vacios FROM v"),
     "verdicts": (verdicts, f"WITH {VALIDATED} SELECT veredicto, count(*) AS n, min(solidez) AS min_solidez, max(solidez) AS max_solidez FROM v GROUP BY 1"),
     "block_motives": (block_motives, f"WITH {VALIDATED} SELECT motivo, count(*) AS n FROM (SELECT unnest(motivos) AS motivo FROM v) GROUP BY 1"),
-    "best_card_per_org": (best_card, f"WITH {ITEMS} SELECT org, id, confianza_cent, tipo FROM (SELECT *, row_number() OVER (PARTITION BY org ORDER BY confianza_cent DESC, id) AS r FROM items WHERE org IS NOT NULL) WHERE r = 1"),
     "traceability": (traceability, "SELECT connector, count(*) AS n, count(*) FILTER (trim(url_fuente) <> '') AS con_url, count(fecha_publicacion) AS con_fecha, count(raw_hash) AS con_crudo FROM evidencias GROUP BY 1"),
     "directory_anti_join": (directory_anti, f"WITH {ITEMS} SELECT id, nombre FROM prospectos WHERE {_company} NOT IN (SELECT org FROM items WHERE org IS NOT NULL)"),
     "directory_left_join": (directory_left, f"WITH {DOSSIERS}, p AS (SELECT {_company} AS o, arg_min(sitio_web, id) FILTER (TRUE) AS sw, min(id) AS i FROM prospectos GROUP BY 1) SELECT d.org, d.n, q.sitio_web, q.escala FROM d LEFT JOIN p ON p.o = d.org LEFT JOIN prospectos q ON q.id = p.i"),
     "eco_indicators": (indicators, f"WITH {ITEMS} SELECT categoria, tipo, CAST(grouping(categoria, tipo) AS BIGINT) AS nivel, count(*) AS n, count(*) FILTER (list_has_any(tags, ['friccion_retencion', 'reduccion_personal', 'cierre_operaciones', 'regulacion'])) AS con_dolor, count(DISTINCT org) AS organizaciones FROM items GROUP BY GROUPING SETS ((categoria, tipo), (categoria), (tipo), ())"),
     "eco_tensions": (tensions, f"WITH {DOSSIERS} SELECT hipotesis, count(*) AS n, count(*) FILTER (dolor AND cambio) AS convergentes FROM d WHERE hipotesis <> '' GROUP BY 1 HAVING count(*) >= 2"),
-    "clusters": (clusters, f"WITH {DOSSIERS} SELECT hipotesis, clase, count(*) AS n, min(org) AS primera, max(org) AS ultima FROM d GROUP BY 1, 2 HAVING count(*) >= 2"),
-    "outliers_sigma": (outliers, f"WITH {DOSSIERS}, s AS (SELECT clase, CAST(sum(n) AS BIGINT) AS s, CAST(sum(n * n) AS BIGINT) AS q, count(*) AS k FROM d GROUP BY 1) SELECT d.org, d.clase, d.n FROM d JOIN s USING (clase) WHERE (n * k - s) * (n * k - s) > q * k - s * s"),
     "sentinels": (sentinels, f"WITH {DOSSIERS} SELECT org, profundidad, n FROM d WHERE dolor AND profundidad >= 70 AND n <= 2"),
     "corpus_quality": (corpus_quality, f"WITH {ITEMS} SELECT calidad, count(*) AS n, CAST(sum(confianza_cent) AS BIGINT) AS suma, count(fecha) AS fechadas FROM items GROUP BY 1"),
-    "ranking_topn": (ranking, f"WITH {VALIDATED} SELECT org, solidez, n, CASE WHEN solidez >= 60 THEN 'alta' WHEN solidez >= 35 THEN 'media' ELSE 'baja' END AS prioridad FROM v ORDER BY solidez DESC, n DESC, org LIMIT 50"),
-    "opportunities": (opportunities, f"WITH {VALIDATED} SELECT hipotesis, count(*) AS n, max(solidez) AS mejor FROM v WHERE veredicto IN ('VALIDADA', 'VALIDADA_PARCIAL') GROUP BY 1"),
     "compare_segments": (compare_segments, f"WITH {ITEMS}, t AS (SELECT categoria, unnest(tags) AS tag FROM items) SELECT tag, count(*) FILTER (categoria = 'Startup') AS startup, count(*) FILTER (categoria = 'Corporativo') AS corporativo, count(*) FILTER (categoria = 'Startup') - count(*) FILTER (categoria = 'Corporativo') AS delta FROM t WHERE categoria IN ('Startup', 'Corporativo') GROUP BY 1"),
     "compare_periods": (compare_periods, f"WITH {ITEMS} SELECT org, count(*) FILTER (fecha < '2024-06-01') AS antes, count(*) FILTER (fecha IS NULL OR fecha >= '2024-06-01') AS despues FROM items WHERE org IS NOT NULL GROUP BY 1"),
     "convergence_intersect": (convergences, f"WITH {ITEMS} SELECT org FROM items WHERE tipo = 'despido' INTERSECT SELECT org FROM items WHERE tipo = 'contratacion'"),
-    "divergence_except": (divergences, f"WITH {ITEMS} SELECT org FROM items WHERE tipo = 'ronda' EXCEPT SELECT org FROM items WHERE tipo = 'queja'"),
+    "divergence_except": (divergences, f"WITH {ITEMS} SELECT 'solo_a' AS lado, org FROM (SELECT org FROM items WHERE tipo = 'ronda' EXCEPT SELECT org FROM items WHERE tipo = 'queja') UNION ALL SELECT 'solo_b', org FROM (SELECT org FROM items WHERE tipo = 'queja' EXCEPT SELECT org FROM items WHERE tipo = 'ronda')"),
     "tag_jaccard": (tag_jaccard, f"WITH {DOSSIERS}, p AS (SELECT org, tags, lead(org) OVER w AS otra, lead(tags) OVER w AS t2 FROM d WINDOW w AS (PARTITION BY clase ORDER BY org)) SELECT org, otra, CAST(CASE WHEN len(list_distinct(tags || t2)) = 0 THEN 0 ELSE floor(len(list_intersect(tags, t2)) * 1000 / len(list_distinct(tags || t2))) END AS BIGINT) AS milesimas FROM p WHERE otra IS NOT NULL"),
-    "evidence_chain": (evidence_chain, f"WITH {ITEMS} SELECT org, id, row_number() OVER (PARTITION BY org ORDER BY coalesce(fecha, 'sin_fecha'), fuente, id) - 1 AS posicion FROM items WHERE org IS NOT NULL"),
-    "fingerprint_sha256": (fingerprints, f"WITH {DOSSIERS} SELECT org, sha256(org || '|' || n || '|' || fuentes || '|' || coalesce(desde, '') || '|' || coalesce(hasta, '') || '|' || {_j('tags')} || '|' || hipotesis) AS huella FROM d"),
-    "corpus_version": (corpus_version, "SELECT lote, count(*) AS n, sha256(count(*) || '|' || CAST(sum(CAST('0x' || substring(hash_dedup, 1, 10) AS BIGINT)) AS VARCHAR) || '|' || CAST(sum(CAST('0x' || substring(hash_dedup, 11, 10) AS BIGINT)) AS VARCHAR)) AS version FROM evidencias GROUP BY lote"),
+    "evidence_chain": (evidence_chain, f"WITH {ITEMS} SELECT org, id, row_number() OVER (PARTITION BY org ORDER BY coalesce(fecha, ''), medio, texto, id) - 1 AS posicion FROM items WHERE org IS NOT NULL"),
     "matrix_long": (org_tag_matrix, f"WITH {ITEMS} SELECT org, tag, count(*) AS n FROM (SELECT org, unnest(tags) AS tag FROM items WHERE org IS NOT NULL) GROUP BY 1, 2"),
-    "substance_index": (substance, f"""WITH {ITEMS}, s AS (SELECT org, count(*) AS n, count(DISTINCT fuente) AS f, CAST(coalesce(max(m) - min(m) + 1, 0) AS BIGINT) AS meses, sum(confianza_cent) AS c FROM (SELECT *, CAST(substring(fecha, 1, 4) AS INT) * 12 + CAST(substring(fecha, 6, 2) AS INT) AS m FROM items WHERE org IS NOT NULL) GROUP BY 1)
+    "substance_index": (substance, f"""WITH {ITEMS}, s AS (SELECT org, count(*) AS n, count(DISTINCT nullif(medio, '')) AS f, CAST(coalesce(max(m) - min(m) + 1, 0) AS BIGINT) AS meses, sum(confianza_cent) AS c FROM (SELECT *, CAST(substring(fecha, 1, 4) AS INT) * 12 + CAST(substring(fecha, 6, 2) AS INT) AS m FROM items WHERE org IS NOT NULL) GROUP BY 1)
         SELECT org, n, f, meses, CAST(floor((CAST(0.4 AS DOUBLE) * least(n / 10, 1.0) + CAST(0.3 AS DOUBLE) * least(f / 6, 1.0) + CAST(0.2 AS DOUBLE) * least(meses / 6, 1.0) + CAST(0.1 AS DOUBLE) * c / n / 100) * 1000 + 0.5 + 1e-9) AS BIGINT) AS milesimas FROM s"""),
     "synthesis_pattern_vote": (pattern_vote, f"WITH {ITEMS}, t AS (SELECT org, tag, count(*) AS n FROM (SELECT org, unnest(tags) AS tag FROM items WHERE org IS NOT NULL) GROUP BY 1, 2) SELECT org, tag AS dominante, n FROM (SELECT *, row_number() OVER (PARTITION BY org ORDER BY n DESC, tag) AS r FROM t) WHERE r = 1"),
 }

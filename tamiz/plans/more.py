@@ -20,10 +20,13 @@ def shared_hashes(spark, d):
     return e.groupBy("hash_dedup").agg(F.count_distinct("org").alias("organizaciones"), F.count("*").alias("n")).where("organizaciones >= 2")
 
 
-def mentions_by_place(spark, d):
+PLACES = ("bogota", "sao paulo", "mexico", "cordoba", "lima")
+
+
+def mentions_by_place(spark, d, names: tuple[str, ...] = PLACES):
     """Organisations of which any quote mentions a place, whatever case and accents."""
     low = F.lower(T.strip_accents(F.col("cita_textual")))
-    places = F.array(*[F.lit(p) for p in ("bogota", "sao paulo", "mexico", "cordoba", "lima")])
+    places = F.array(*[F.lit(p) for p in names])
     e = table(spark, d, "evidencias").select(T.company_key(F.col("empresa_mencionada")).alias("org"), F.explode(F.filter(places, lambda p: F.contains(low, p))).alias("lugar"))
     return e.groupBy("lugar").agg(F.count_distinct("org").alias("organizaciones"), F.count("*").alias("citas"))
 
@@ -75,7 +78,7 @@ def speakers(spark, d):
 
 def source_overlap(spark, d):
     """Pairs of outlets by the organisations that both report on; an outlet table is small, the pairs are bounded by it."""
-    o = items(spark, d).where("org is not null").select("org", "fuente").distinct()
+    o = items(spark, d).where("org is not null").select("org", F.col("medio").alias("fuente")).distinct()
     a = o.groupBy("org").agg(F.array_sort(F.collect_set("fuente")).alias("f")).where(F.size("f") > 1)
     one = a.select("f", F.posexplode("f").alias("k", "a"))
     return one.select("a", F.explode(F.slice("f", F.col("k") + 2, F.size("f"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("organizaciones"))
@@ -141,18 +144,15 @@ def continuity(spark, d):
     return i.select("org", p.alias("puntos"), F.when(p >= 80, "continua").when(p >= 60, "parcial").otherwise("debil").alias("banda"))
 
 
-def relaxation(spark, d):
+def relaxation(spark, d, vertical: str = "fintech", category: str = "VC"):
     """Entities for a request by vertical and category, relaxed to the vertical alone, then to all; the level that was needed."""
-    p = table(spark, d, "prospectos")
-    level = F.when((F.col("vertical") == "fintech") & (F.col("categoria") == "VC"), 0).when(F.col("vertical") == "fintech", 1).otherwise(2)
-    tagged = p.select("id", level.cast("long").alias("nivel"))
-    least = tagged.agg(F.min("nivel").alias("m")).first()
-    return tagged.where(F.col("nivel") == F.lit(least.m if least.m is not None else 2))
+    level = F.when((F.col("vertical") == vertical) & (F.col("categoria") == category), 0).when(F.col("vertical") == vertical, 1).otherwise(2)
+    tagged = table(spark, d, "prospectos").select("id", level.cast("long").alias("nivel"))
+    return tagged.join(F.broadcast(tagged.agg(F.min("nivel").alias("nivel"))), "nivel", "left_semi").select("id", "nivel")
 
 
 _url = "lower(trim(regexp_replace(coalesce(empresa_mencionada, ''), '\\s+', ' ', 'g')))"
 _places = "(VALUES ('bogota'), ('sao paulo'), ('mexico'), ('cordoba'), ('lima')) p(lugar)"
-_generic = quoted(T.GENERIC_MAILBOXES)
 _disc = "lower(strip_accents(discurso_corporativo))"
 _hits = "[" + ", ".join("struct_pack(n := " + " + ".join(f"CAST(contains({_disc}, '{m}') AS BIGINT)" for m in ms) + f", k := {k}, tipo := '{kind}')" for k, (kind, ms) in enumerate(L.DISCOURSE.items())) + "]"
 _hits_sql = f"WITH h AS (SELECT id, unnest({_hits}) AS h FROM prospectos), x AS (SELECT id, h.n AS n, h.k AS k, h.tipo AS tipo FROM h WHERE h.n > 0)"
@@ -177,10 +177,10 @@ QUERIES = {
     "period_bounds": (periods, f"WITH {ITEMS} SELECT org, CAST(grouping(org) AS BIGINT) AS nivel, min(fecha) AS desde, max(fecha) AS hasta, count(*) AS n FROM items WHERE fecha IS NOT NULL GROUP BY GROUPING SETS ((org), ())"),
     "union_report": (union_report, f"WITH {DOSSIERS} SELECT 'noticias' AS origen, org, clase, n FROM d UNION ALL SELECT DISTINCT 'directorio', lower(trim(regexp_replace(nombre, '\\s+', ' ', 'g'))), 'C', 0 FROM prospectos WHERE lower(trim(regexp_replace(nombre, '\\s+', ' ', 'g'))) NOT IN (SELECT org FROM d)"),
     "mailbox_reasons": (mailbox_reasons, f"""WITH m AS (SELECT id, lower(unnest(regexp_extract_all(discurso_corporativo, '{T.MAILBOX}'))) AS m FROM prospectos), u AS (SELECT DISTINCT id, m, split_part(m, '@', 1) AS l, split_part(m, '@', 2) AS d, regexp_extract(split_part(m, '@', 2), '\\.([^.]+)$', 1) AS e FROM m)
-        SELECT CASE WHEN NOT regexp_matches(m, '^[^@\\s]+@[a-z0-9-]+(\\.[a-z0-9-]+)+$') THEN 'sintaxis' WHEN d IN ({quoted(T.PLACEHOLDER_DOMAINS)}) THEN 'dominio_de_ejemplo' WHEN e IN ({quoted(T.RESERVED_ENDINGS)}) THEN 'terminacion_reservada' WHEN e IN ({quoted(T.IMAGE_ENDINGS)}) THEN 'imagen'
-        WHEN regexp_matches(l, '\\.\\.|^\\.|\\.$') THEN 'puntos' WHEN regexp_matches(l, '^[^a-z]') THEN 'inicio' WHEN l IN ({_generic}) OR regexp_extract(l, '^([^._-]+|no-reply)', 1) IN ({_generic}) THEN 'generico' ELSE '' END AS motivo, count(*) AS n FROM u GROUP BY 1"""),
+        SELECT CASE WHEN NOT regexp_matches(m, '^[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}$') THEN 'sintaxis' WHEN d IN ({quoted(T.PLACEHOLDER_DOMAINS)}) THEN 'dominio_de_ejemplo' WHEN e IN ({quoted(T.RESERVED_ENDINGS)}) THEN 'terminacion_reservada' WHEN e IN ({quoted(T.IMAGE_ENDINGS)}) THEN 'imagen'
+        WHEN regexp_matches(l, '\\.\\.|^\\.|\\.$') THEN 'puntos' WHEN regexp_matches(l, '^[^a-z]') THEN 'inicio' WHEN regexp_matches(l, '{T.GENERIC_LOCAL}') THEN 'generico' ELSE '' END AS motivo, count(*) AS n FROM u GROUP BY 1"""),
     "speakers": (speakers, "SELECT lower(trim(regexp_replace(persona_citada, '\\s+', ' ', 'g'))) AS persona, count(*) AS n, count(DISTINCT nombre_medio) AS medios, min(creado_en) AS primera FROM evidencias WHERE trim(coalesce(persona_citada, '')) <> '' GROUP BY 1"),
-    "source_overlap": (source_overlap, f"WITH {ITEMS}, o AS (SELECT DISTINCT org, fuente FROM items WHERE org IS NOT NULL) SELECT x.fuente AS a, y.fuente AS b, count(*) AS organizaciones FROM o x JOIN o y ON x.org = y.org AND x.fuente < y.fuente GROUP BY 1, 2"),
+    "source_overlap": (source_overlap, f"WITH {ITEMS}, o AS (SELECT DISTINCT org, medio AS fuente FROM items WHERE org IS NOT NULL) SELECT x.fuente AS a, y.fuente AS b, count(*) AS organizaciones FROM o x JOIN o y ON x.org = y.org AND x.fuente < y.fuente GROUP BY 1, 2"),
     "evidence_quartiles": (quantiles, f"WITH {DOSSIERS} SELECT clase, CAST(quantile_disc(n, 0.25) AS BIGINT) AS q1, CAST(quantile_disc(n, 0.5) AS BIGINT) AS mediana, CAST(quantile_disc(n, 0.75) AS BIGINT) AS q3, max(n) AS maximo FROM d GROUP BY 1"),
     "revenue_cube": (revenue_share, "SELECT c_mktsegment, o_orderpriority, CAST(grouping(c_mktsegment, o_orderpriority) AS BIGINT) AS nivel, CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS centavos, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY CUBE (c_mktsegment, o_orderpriority)"),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,18 +94,107 @@ def vertical_histogram(spark, d):
     return table(spark, d, "prospectos").groupBy(F.coalesce("vertical", F.lit("sin_vertical")).alias("vertical")).agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("discurso_corporativo", F.lit(""))) != "").alias("con_discurso"))
 
 
-def evidence_page(spark, d):
-    """A filtered page: newest consumable evidence, third page of fifty."""
-    return ev(spark, d).where("estado = 'ok' and tipo_evento = 'queja'").orderBy(F.desc("creado_en"), F.desc("id")).offset(100).limit(50).select("id", "creado_en", "nombre_medio", "empresa_mencionada")
+def filtered(e: DataFrame, company: str | None = None, event: str | None = None, category: str | None = None, since: str | None = None, until: str | None = None, least: float | None = None) -> DataFrame:
+    """Consumable evidence under optional conditions, all of which must hold; they reach the scan. Dates compare as text."""
+    e = e.where("estado = 'ok'")
+    for column, value in (("empresa_mencionada", company), ("tipo_evento", event), ("categoria", category)):
+        if value is not None:
+            e = e.where(F.col(column) == value)
+    if since is not None:
+        e = e.where(F.col("fecha_publicacion") >= since)
+    if until is not None:
+        e = e.where(F.col("fecha_publicacion") <= until)
+    return e if least is None else e.where(F.col("confianza") >= least)
+
+
+def evidence_page(spark, d, offset: int = 100, limit: int = 50, **conditions):
+    """A page of filtered evidence, newest first."""
+    e = filtered(ev(spark, d), **(conditions or {"event": "queja"}))
+    return e.orderBy(F.desc("creado_en"), F.desc("id")).offset(offset).limit(limit).select("id", "creado_en", "nombre_medio", "empresa_mencionada")
+
+
+def evidence_count(spark, d, **conditions):
+    """How many rows the pages of a filter have, by category."""
+    return filtered(ev(spark, d), **(conditions or {"event": "queja"})).groupBy("categoria").agg(F.count("*").alias("n"))
+
+
+def evidence_point(spark, d, key: int = 100):
+    """One record by id, if it is consumable."""
+    return filtered(ev(spark, d)).where(F.col("id") == key).select("id", "cita_textual", "url_fuente", "confianza")
 
 
-def corpus_page(spark, d):
+def corpus_page(spark, d, offset: int = 0, limit: int = 200, **conditions):
     """The corpus contract: by confidence, date and id."""
-    return ev(spark, d).where("confianza >= 0.7 and estado = 'ok'").orderBy(F.desc("confianza"), F.desc("creado_en"), F.desc("id")).limit(200).select("id", "confianza", "creado_en", "tipo_evento", "url_fuente")
+    e = filtered(ev(spark, d), **(conditions or {"least": 0.7}))
+    return e.orderBy(F.desc("confianza"), F.desc("creado_en"), F.desc("id")).offset(offset).limit(limit).select("id", "confianza", "creado_en", "tipo_evento", "url_fuente")
+
+
+def entity_search(spark, d, text: str = "grupo", category: str | None = None, size: str | None = None, told: bool | None = True):
+    """Entities by part of the name, category, size and whether they have a discourse, by name."""
+    p = table(spark, d, "prospectos").where(F.contains(F.lower("nombre"), F.lit(text.lower())))
+    has = F.trim(F.coalesce("discurso_corporativo", F.lit(""))) != ""
+    for condition in (category is not None and F.col("categoria") == category, size is not None and F.col("escala") == size, told is not None and (has if told else ~has)):
+        if condition is not False:
+            p = p.where(condition)
+    return p.select("id", "nombre", "categoria")
+
+
+def table_counts(spark, d):
+    """Rows of each table of the project."""
+    names = ("evidencias", "prospectos", "drift_snapshots", "rechazos", "raw_store", "documents")
+    one = [table(spark, d, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("tabla"), "n") for n in names]
+    return functools.reduce(DataFrame.unionByName, one)
+
+
+def latest_signals(spark, d, limit: int = 100):
+    """The newest critical alerts of the keyword rules."""
+    a = ev(spark, d).select("id", "creado_en", G.rule_alert(F.col("cita_textual")).alias("a")).where("a.puntos > 0")
+    return a.orderBy(F.desc("a.puntos"), F.desc("creado_en"), F.desc("id")).limit(limit).select("id", "a.puntos", "a.alerta")
+
+
+def daily_centre(spark, d, day: str = "2024-06-01", stale: int = 7):
+    """What a day looks like per organisation: rows of the day, rows ever, and whether it has gone stale by then."""
+    e = ev(spark, d).select(T.company_key(F.col("empresa_mencionada")).alias("org"), F.substring("creado_en", 1, 10).alias("dia")).where((F.col("org") != "") & (F.col("dia") <= day))
+    g = e.groupBy("org").agg(F.count("*").alias("n"), F.count_if(F.col("dia") == day).alias("hoy"), F.max("dia").alias("ultimo"))
+    return g.select("org", "n", "hoy", "ultimo", (F.date_diff(F.lit(day), F.col("ultimo")) > stale).alias("vencida"))
+
+
+def entity_keys(spark, d):
+    """Keys of entities: by name and category, the stable one by name, and the short one by name alone."""
+    name = T.company_key(F.col("nombre"))
+    return table(spark, d, "prospectos").select("id", F.sha2(F.concat_ws("|", name, F.coalesce("categoria", F.lit(""))), 256).alias("clave"), F.sha2(F.concat(F.lit("candidato:v1|"), name), 256).alias("estable"), F.substring(F.sha2(F.lower(F.trim("nombre")), 256), 1, 32).alias("corta"))
+
+
+def signal_keys(spark, d):
+    """Identity of a signal: address and company, else the title's hash."""
+    url, h = T.normal_url(F.col("url_fuente")), T.content_hash(F.col("cita_textual"))
+    k = F.when(url != "", F.concat(F.lit("url:"), F.sha2(url, 256), F.lit("|"), h)).when(h != "", F.concat(F.lit("txt:"), h)).otherwise(F.concat(F.lit("dup:"), F.sha2(T.company_key(F.col("empresa_mencionada")), 256)))
+    return ev(spark, d).select("id", k.alias("clave"))
+
+
+def seeded_sample(spark, d, seed: int = 7, size: int = 100):
+    """A repeatable sample: the rows with the least seeded hash of their id; the feature is the sample."""
+    h = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")), 256)
+    return ev(spark, d).select("id", h.alias("h")).orderBy("h", "id").limit(size)
+
+
+def first_ids_by_url(spark, d):
+    """The evidence that stands for an address: its least id."""
+    return ev(spark, d).where(F.trim("url_fuente") != "").groupBy(F.col("url_fuente").alias("url")).agg(F.min("id").alias("id"))
+
+
+def task_plan(spark, d):
+    """The capture plan: every category with every kind of event and every query variant; a product of small fixed vocabularies."""
+    dim = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    return dim("categoria", L.CATEGORIES).crossJoin(dim("tipo_evento", L.EVENT_TYPES)).crossJoin(dim("variante", ("exacta", "amplia")))
 
 
-def entity_search(spark, d):
-    return table(spark, d, "prospectos").where(F.lower("nombre").contains("grupo") & (F.trim(F.coalesce("discurso_corporativo", F.lit(""))) != "")).select("id", "nombre", "categoria")
+def entity_contract(spark, d):
+    """Outcome of the entity contract: name, category and size in their vocabularies."""
+    p = table(spark, d, "prospectos")
+    bands = ("1-10", "11-50", "51-200", "201-500", "501+", "indeterminada")
+    r = F.when(F.trim(F.coalesce("nombre", F.lit(""))) == "", "campo_obligatorio_vacio:nombre").when(~F.coalesce("categoria", F.lit("")).isin(*L.CATEGORIES), "categoria_invalida").when(~F.coalesce("escala", F.lit("indeterminada")).isin(*bands), "escala_invalida").otherwise("ok")
+    return p.select(r.alias("resultado")).groupBy("resultado").agg(F.count("*").alias("n"))
 
 
 def stats_counts(spark, d):
@@ -159,6 +250,7 @@ _url, _title, _company = URL.format(c="url_fuente"), TITLE.format(c="cita_textua
 _title_hash = f"CASE WHEN coalesce({_title}, '') = '' THEN '' ELSE sha256({_title}) END"
 _iso = G.ISO
 _blank = " ".join(f"WHEN trim(coalesce({c}, '')) = '' THEN 'campo_obligatorio_vacio:{c}'" for c in ("cita_textual", "fecha_extraccion", "url_fuente", "nombre_medio", "empresa_mencionada", "tipo_evento", "origen_declaracion", "hash_dedup"))
+_name = "lower(trim(regexp_replace(nombre, '\\s+', ' ', 'g')))"
 _has_text = "trim(coalesce(discurso_corporativo, '')) <> ''"
 _numbers = "list_transform(regexp_extract_all(lower(discurso_corporativo), '([0-9][0-9.]*)\\s+(?:empleados|personas|staff|funcionários)', 1), lambda x: try_cast(replace(x, '.', '') AS BIGINT))"
 
@@ -185,10 +277,21 @@ QUERIES = {
     "evidence_page": (evidence_page, "SELECT id, creado_en, nombre_medio, empresa_mencionada FROM evidencias WHERE estado = 'ok' AND tipo_evento = 'queja' ORDER BY creado_en DESC, id DESC LIMIT 50 OFFSET 100"),
     "corpus_page": (corpus_page, "SELECT id, confianza, creado_en, tipo_evento, url_fuente FROM evidencias WHERE confianza >= 0.7 AND estado = 'ok' ORDER BY confianza DESC, creado_en DESC, id DESC LIMIT 200"),
     "entity_search": (entity_search, f"SELECT id, nombre, categoria FROM prospectos WHERE contains(lower(nombre), 'grupo') AND {_has_text}"),
+    "evidence_count": (evidence_count, "SELECT categoria, count(*) AS n FROM evidencias WHERE estado = 'ok' AND tipo_evento = 'queja' GROUP BY 1"),
+    "evidence_point": (evidence_point, "SELECT id, cita_textual, url_fuente, confianza FROM evidencias WHERE estado = 'ok' AND id = 100"),
+    "table_counts": (table_counts, " UNION ALL ".join(f"SELECT '{t}' AS tabla, count(*) AS n FROM {t}" for t in ("evidencias", "prospectos", "drift_snapshots", "rechazos", "raw_store", "documents"))),
+    "latest_signals": (latest_signals, f"SELECT id, puntos, CASE WHEN puntos >= {L.CRITICAL_FROM} THEN 'Crítica' ELSE 'Normal' END AS alerta FROM (SELECT id, creado_en, {_points} AS puntos FROM evidencias) WHERE puntos > 0 ORDER BY puntos DESC, creado_en DESC, id DESC LIMIT 100"),
+    "daily_centre": (daily_centre, f"WITH e AS (SELECT coalesce({_company}, '') AS org, substring(creado_en, 1, 10) AS dia FROM evidencias) SELECT org, count(*) AS n, count(*) FILTER (dia = '2024-06-01') AS hoy, max(dia) AS ultimo, date_diff('day', CAST(max(dia) AS DATE), DATE '2024-06-01') > 7 AS vencida FROM e WHERE org <> '' AND dia <= '2024-06-01' GROUP BY 1"),
+    "entity_keys": (entity_keys, f"SELECT id, sha256({_name} || '|' || coalesce(categoria, '')) AS clave, sha256('candidato:v1|' || {_name}) AS estable, substring(sha256(lower(trim(nombre))), 1, 32) AS corta FROM prospectos"),
+    "signal_keys": (signal_keys, f"SELECT id, CASE WHEN coalesce({_url}, '') <> '' THEN 'url:' || sha256({_url}) || '|' || {_title_hash} WHEN {_title_hash} <> '' THEN 'txt:' || {_title_hash} ELSE 'dup:' || sha256(coalesce({_company}, '')) END AS clave FROM evidencias"),
+    "seeded_sample": (seeded_sample, "SELECT id, sha256('7|' || id) AS h FROM evidencias ORDER BY h, id LIMIT 100"),
+    "first_ids_by_url": (first_ids_by_url, "SELECT url_fuente AS url, min(id) AS id FROM evidencias WHERE trim(url_fuente) <> '' GROUP BY 1"),
+    "task_plan": (task_plan, f"SELECT * FROM (VALUES {', '.join(f'({quoted([c])})' for c in L.CATEGORIES)}) a(categoria), (VALUES {', '.join(f'({quoted([c])})' for c in L.EVENT_TYPES)}) b(tipo_evento), (VALUES ('exacta'), ('amplia')) c(variante)"),
+    "entity_contract": (entity_contract, f"SELECT CASE WHEN trim(coalesce(nombre, '')) = '' THEN 'campo_obligatorio_vacio:nombre' WHEN coalesce(categoria, '') NOT IN ({quoted(L.CATEGORIES)}) THEN 'categoria_invalida' WHEN coalesce(escala, 'indeterminada') NOT IN ('1-10', '11-50', '51-200', '201-500', '501+', 'indeterminada') THEN 'escala_invalida' ELSE 'ok' END AS resultado, count(*) AS n FROM prospectos GROUP BY 1"),
     "stats_counts": (stats_counts, "SELECT count(*) AS evidencias, count(*) FILTER (estado = 'ok') AS consumibles, count(persona_citada) AS con_persona, count(DISTINCT nombre_medio) AS medios, count(DISTINCT empresa_mencionada) AS empresas, count(raw_hash) AS con_crudo FROM evidencias"),
     "category_zero_fill": (category_zero_fill, f"SELECT c.categoria, count(p.id) AS n FROM (VALUES {', '.join(f'({quoted([c])})' for c in (*L.CATEGORIES, 'Fondo'))}) c(categoria) LEFT JOIN prospectos p ON p.categoria = c.categoria GROUP BY 1"),
     "quality_histogram": (quality_histogram, "SELECT coalesce(calidad_captura, 'sin_calidad') AS calidad, count(*) AS n FROM evidencias GROUP BY 1"),
-    "mailbox_sources": (mailbox_sources, f"SELECT correo, count(DISTINCT id) AS fuentes, count(DISTINCT id) >= 2 AS confirmado, split_part(correo, '@', 1) IN ({quoted(T.GENERIC_MAILBOXES)}) AS generico FROM (SELECT id, lower(unnest(regexp_extract_all(discurso_corporativo, '{T.MAILBOX}'))) AS correo FROM prospectos) GROUP BY correo"),
+    "mailbox_sources": (mailbox_sources, f"SELECT correo, count(DISTINCT id) AS fuentes, count(DISTINCT id) >= 2 AS confirmado, regexp_matches(split_part(correo, '@', 1), '{T.GENERIC_LOCAL}') AS generico FROM (SELECT id, lower(unnest(regexp_extract_all(discurso_corporativo, '{T.MAILBOX}'))) AS correo FROM prospectos) GROUP BY correo"),
     "headcount_bands": (headcount_bands, f"SELECT CASE WHEN m IS NULL OR m < 1 THEN 'indeterminada' WHEN m <= 10 THEN '1-10' WHEN m <= 50 THEN '11-50' WHEN m <= 200 THEN '51-200' WHEN m <= 500 THEN '201-500' ELSE '501+' END AS banda, count(*) AS n FROM (SELECT list_max({_numbers}) AS m FROM prospectos) GROUP BY 1"),
     "founding_years": (founding_years, "SELECT anio, count(*) AS n FROM (SELECT regexp_extract(discurso_corporativo, 'fundada en ((?:19|20)[0-9]{2})', 1) AS anio FROM prospectos) WHERE anio <> '' GROUP BY anio"),
     "entity_slugs": (slugs, "SELECT id, regexp_replace(regexp_replace(lower(strip_accents(nombre)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM prospectos"),

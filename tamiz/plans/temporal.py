@@ -39,10 +39,10 @@ def inflections(spark, d):
 
 
 def maturity(spark, d):
-    i = items(spark, d).where("org is not null").groupBy("org").agg(F.count("*").alias("n"), F.count_distinct("fuente").alias("f"), F.count_distinct(F.substring("fecha", 1, 7)).alias("m"))
+    i = items(spark, d).where("org is not null").groupBy("org").agg(F.count("*").alias("n"), F.count_distinct(F.nullif("medio", F.lit(""))).alias("f"), F.count_distinct(F.substring("fecha", 1, 7)).alias("m"))
     v = F.lit(40.0) * F.least("n", F.lit(6)) / 6 + F.lit(30.0) * F.least("f", F.lit(4)) / 4 + F.lit(30.0) * F.least("m", F.lit(6)) / 6
     p = F.floor(v + 0.5 + 1e-9)
-    return i.select("org", p.alias("puntos"), F.when(p >= 70, "consolidado").when(p >= 40, "en_desarrollo").otherwise("incipiente").alias("nivel"))
+    return i.select("org", p.alias("puntos"), F.when(p >= 75, "maduro").when(p >= 50, "consolidado").when(p >= 25, "en_desarrollo").otherwise("naciente").alias("nivel"))
 
 
 def event_mix(spark, d):
@@ -74,6 +74,21 @@ def drift_types(spark, d):
     return D.line_changes(table(spark, d, "drift_snapshots"))
 
 
+def drift_concepts(spark, d):
+    return D.first_concepts(table(spark, d, "drift_snapshots"))
+
+
+def drift_evidence(spark, d):
+    return D.evidence(table(spark, d, "drift_snapshots"))
+
+
+def drift_timeline(spark, d):
+    """Captures of each organisation in order of time, with the page and whether its text changed."""
+    s = H.previous(table(spark, d, "drift_snapshots"), ["org_nombre", "tipo_pagina"], ["id"], "hash_contenido", F.col("estado_observable") == "ok")
+    state = F.when(F.col("estado_observable") != "ok", F.col("estado_observable")).when(F.col("anterior").isNull(), "primera").when(F.col("anterior") == F.col("hash_contenido"), "igual").otherwise("cambio")
+    return s.select("org_nombre", "capturado_en", "id", "tipo_pagina", state.alias("estado"))
+
+
 def observable_states(spark, d):
     return table(spark, d, "drift_snapshots").groupBy("estado_observable", "tipo_pagina").agg(F.count("*").alias("n"), F.max("capturado_en").alias("ultima"))
 
@@ -150,14 +165,14 @@ _versions_sql = """WITH s AS (SELECT *, lag(hash_contenido) OVER (PARTITION BY o
   v AS (SELECT id, org_nombre, tipo_pagina, row_number() OVER w AS version, lag(hash_contenido) OVER w AS hash_previo FROM s WHERE antes IS NULL OR antes <> hash_contenido WINDOW w AS (PARTITION BY org_nombre, tipo_pagina ORDER BY id))"""
 _stop = ", ".join(f"'{w}'" for w in D.STOP_WORDS)
 _words = "list_filter(string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda x: x <> '')"
-_pairs = "list_distinct(list_transform(list_filter(range(1, len({w})), lambda i: {w}[i] NOT IN ({s}) AND {w}[i + 1] NOT IN ({s}) AND length({w}[i]) + length({w}[i + 1]) > 5), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+_pairs = "list_distinct(list_transform(list_filter(range(1, len({w})), lambda i: {w}[i] NOT IN ({s}) AND {w}[i + 1] NOT IN ({s}) AND length({w}[i]) + length({w}[i + 1]) > 4), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
 
 QUERIES = {
     "monthly_series": (monthly_series, f"WITH {_series_sql} SELECT * FROM serie"),
     "series_profile": (series_profile, f"WITH {_series_sql} {_profile_sql}"),
     "orders_profile": (orders_profile, f"WITH {_orders_sql} {_profile_sql}"),
     "inflections": (inflections, f"WITH {_orders_sql}, x AS (SELECT *, n - lag(n) OVER w AS a, lead(n) OVER w - n AS b FROM serie WINDOW w AS (PARTITION BY clave ORDER BY periodo)) SELECT clave, periodo FROM x WHERE a * b < 0"),
-    "maturity": (maturity, f"WITH {ITEMS}, m AS (SELECT org, CAST(floor(40.0 * least(count(*), 6) / 6 + 30.0 * least(count(DISTINCT fuente), 4) / 4 + 30.0 * least(count(DISTINCT substring(fecha, 1, 7)), 6) / 6 + 0.5 + 1e-9) AS BIGINT) AS puntos FROM items WHERE org IS NOT NULL GROUP BY org) SELECT org, puntos, CASE WHEN puntos >= 70 THEN 'consolidado' WHEN puntos >= 40 THEN 'en_desarrollo' ELSE 'incipiente' END AS nivel FROM m"),
+    "maturity": (maturity, f"WITH {ITEMS}, m AS (SELECT org, CAST(floor(40.0 * least(count(*), 6) / 6 + 30.0 * least(count(DISTINCT nullif(medio, '')), 4) / 4 + 30.0 * least(count(DISTINCT substring(fecha, 1, 7)), 6) / 6 + 0.5 + 1e-9) AS BIGINT) AS puntos FROM items WHERE org IS NOT NULL GROUP BY org) SELECT org, puntos, CASE WHEN puntos >= 75 THEN 'maduro' WHEN puntos >= 50 THEN 'consolidado' WHEN puntos >= 25 THEN 'en_desarrollo' ELSE 'naciente' END AS nivel FROM m"),
     "event_mix_pivot": (event_mix, "SELECT strftime(ts, '%Y-%m-%d') AS dia, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1"),
     "version_changes_lag": (version_changes, f"{_versions_sql} SELECT * FROM v"),
     "version_evolution": (version_evolution, f"{_versions_sql} SELECT org_nombre, tipo_pagina, max(version) AS versiones, min(id) AS primera, max(id) AS ultima FROM v GROUP BY 1, 2"),
@@ -167,6 +182,14 @@ QUERIES = {
         c AS (SELECT id, {_pairs.format(w='wa', s=_stop)} AS a, {_pairs.format(w='wb', s=_stop)} AS b FROM p)
         SELECT id, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS nuevos, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS perdidos FROM c"""),
     "drift_types": (drift_types, None),
+    "drift_evidence": (drift_evidence, None),
+    "drift_first_concepts": (drift_concepts, f"""WITH s AS (SELECT *, last_value(CASE WHEN estado_observable = 'ok' THEN texto END IGNORE NULLS) OVER (PARTITION BY org_nombre, tipo_pagina ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anterior FROM drift_snapshots),
+        p AS (SELECT id, {_words.format(c='anterior')} AS wa, {_words.format(c='texto')} AS wb FROM s WHERE estado_observable = 'ok' AND anterior IS NOT NULL AND anterior <> texto),
+        c AS (SELECT id, {_pairs.format(w='wa', s=_stop)} AS a, {_pairs.format(w='wb', s=_stop)} AS b FROM p)
+        SELECT id, 'concepto_nuevo' AS tipo_cambio, unnest(list_sort(list_filter(b, lambda x: NOT list_contains(a, x)))[1:5]) AS concepto FROM c
+        UNION ALL SELECT id, 'concepto_eliminado', unnest(list_sort(list_filter(a, lambda x: NOT list_contains(b, x)))[1:5]) FROM c"""),
+    "drift_timeline": (drift_timeline, """WITH s AS (SELECT *, last_value(CASE WHEN estado_observable = 'ok' THEN hash_contenido END IGNORE NULLS) OVER (PARTITION BY org_nombre, tipo_pagina ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anterior FROM drift_snapshots)
+        SELECT org_nombre, capturado_en, id, tipo_pagina, CASE WHEN estado_observable <> 'ok' THEN estado_observable WHEN anterior IS NULL THEN 'primera' WHEN anterior = hash_contenido THEN 'igual' ELSE 'cambio' END AS estado FROM s"""),
     "observable_states": (observable_states, "SELECT estado_observable, tipo_pagina, count(*) AS n, max(capturado_en) AS ultima FROM drift_snapshots GROUP BY 1, 2"),
     "raw_retention": (retention, "SELECT formato, count(*) FILTER (expira_en >= '2024-06-01') AS quedan, count(*) FILTER (expira_en < '2024-06-01') AS purgados, CAST(coalesce(sum(tamano) FILTER (expira_en < '2024-06-01'), 0) AS BIGINT) AS liberado FROM raw_store GROUP BY 1"),
     "health_islands": (health_runs, """WITH r AS (SELECT connector, creado_en, id, false AS ok FROM rechazos UNION ALL SELECT connector, creado_en, id, true FROM evidencias),
