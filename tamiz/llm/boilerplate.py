@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,6 +83,7 @@ _CRUMB = re.compile(rf"(?:{MENU_WORDS})(?: ?[>»/|·•] ?(?:{MENU_WORDS}))* ?[>
 _COOKIE = re.compile(COOKIE)
 _BUTTON = re.compile(rf"(?:{BUTTONS})(?:[ ✕x|·/.]+(?:{BUTTONS}))*[ ✕x.]*")
 _WHOLE = re.compile("(?:" + "|".join(WHOLE_LINES) + r")[ ↑✕.:]*")
+_ANY = re.compile("|".join(f"(?:{p.pattern})" for p in (_MENU, _CRUMB, _BUTTON, _WHOLE)))
 _RELATED = re.compile(RELATED + r"[:. ]*")
 _BULLET = re.compile(r"\s*[-*•–]\s")
 _NUMBERED = re.compile(r"\s*\d{1,2}[.)]\s")
@@ -89,17 +91,39 @@ _END = re.compile(r"[.!?…。][”»\"')\]]*\s*$")
 
 
 def is_furniture_line(line: str) -> bool:
-    """Whether the grammar of furniture line types covers the line."""
-    f = fold(line)
+    """Whether the grammar of furniture line types covers the line. Lines of furniture come again on many pages, so the last ones are kept."""
+    return _furniture(line) if len(line) < SHORT else _furniture.__wrapped__(line)
+
+
+@lru_cache(1 << 15)
+def _furniture(line: str) -> bool:
+    f = folded(line)
     if not f:
         return False
-    if _MENU.fullmatch(f) or _CRUMB.fullmatch(f) or _BUTTON.fullmatch(f) or _WHOLE.fullmatch(f) or _RELATED.fullmatch(f):
+    if _ANY.fullmatch(f) or _RELATED.fullmatch(f):
         return True
-    return len(f) < 220 and bool(_COOKIE.search(f)) and not _SPEAKS_OF.search(line)
+    return len(f) < 220 and ("cookie" in f or "privaci" in f or "privacy" in f or "soci" in f or "partner" in f or "parceir" in f) and bool(_COOKIE.search(f)) and not speaks_of_notices(line, f)
+
+
+#: Lines up to this length are kept when they were judged, as furniture is short.
+SHORT = 240
+_folded = lru_cache(1 << 15)(fold)
+
+
+def folded(line: str) -> str:
+    """The folded line; each is asked for several times."""
+    return _folded(line) if len(line) < SHORT else fold(line)
+
+
+#: Words by which a notice addresses the reader or names its own page, folded.
+_READER = re.compile(r"\b(?:tu|tus|nosotros|nos|nuestr[oa]s?|usamos|utilizamos|empleamos|este sitio|este site|esta pagina|seu|sua|seus|suas|voce|nosso|nossa|we|our|your|you|this (?:site|website|page))\b")
+#: A capitalised word inside a sentence.
+_NAMED = re.compile(r"(?<=[^\s.!?…:;] )[A-ZÁÉÍÓÚÑÂÊÔÃÕÇ][\w'’]+")
 
 
-#: Sentences that speak of notices: a named subject acts on them.
-_SPEAKS_OF = re.compile(r"[:;] .*,|\bdice\b|\bsays\b|\bdiz\b|\d+ (?:jornais|medios|newspapers|kitchens)|vende |audita |builds |sells ")
+def speaks_of_notices(line: str, folded: str) -> bool:
+    """Whether a line about notices is a sentence on somebody: it names someone and doesn't address the reader."""
+    return bool(_NAMED.search(line)) and not _READER.search(folded)
 
 
 def looks_like_content(line: str) -> bool:
@@ -122,8 +146,7 @@ class LineModel:
 
     def line_score(self, line: str) -> float:
         """Sum of word weights and of the negative marks of furniture, about per word, so that no line outweighs a page."""
-        f = fold(line)
-        words = WORD.findall(f)
+        words = WORD.findall(folded(line))
         if not words:
             return 0.0
         score = sum(self.weight.get(w, 0.15) for w in words)
@@ -145,8 +168,7 @@ def scored_lines(lines: list[str], model: LineModel) -> list[float]:
         if not s:
             out.append(0.0)
             continue
-        f = fold(s)
-        if _RELATED.fullmatch(f):
+        if _RELATED.fullmatch(folded(s)):
             related = True
             out.append(FURNITURE)
             continue
@@ -212,15 +234,14 @@ def fit(pages: DataFrame, key: str, text_col: str) -> LineModel:
                     if not s:
                         continue
                     if is_furniture_line(s):
-                        furniture.update(WORD.findall(fold(s)))
+                        furniture.update(WORD.findall(folded(s)))
                     elif looks_like_content(s):
-                        body.update(WORD.findall(fold(s)))
+                        body.update(WORD.findall(folded(s)))
         rows = [(w, body[w], furniture[w]) for w in set(body) | set(furniture)]
         yield pd.DataFrame(rows, columns=["w", "b", "f"])
 
     words = (
-        sample.repartition(8)
-        .mapInPandas(count, "w string, b long, f long")
+        sample.mapInPandas(count, "w string, b long, f long")
         .groupBy("w")
         .agg(F.sum("b").alias("b"), F.sum("f").alias("f"))
         .where(F.col("b") + F.col("f") >= 5)

@@ -125,11 +125,11 @@ _ODD = re.compile(rf"[{_LOW}][·±ÁÉÍÓÚÑÀÇÃÕÂÊÔªº°](?=[{_LOW} ,.
 
 
 def _chains(text: str, steps: list[Callable[[str], str]], length: int) -> list[str]:
-    """Everything that chains of up to ``length`` steps make of ``text``, each once, in order of discovery."""
+    """Everything that chains of up to ``length`` steps make of ``text``, each once, in order of discovery; what isn't suspicious any more goes no further."""
     seen, front = {text}, [text]
     out: list[str] = []
     for _ in range(length):
-        front = [c for t in front if t is text or not t.isascii() for c in dict.fromkeys(step(t) for step in steps) if c not in seen and not seen.add(c)]
+        front = [c for t in front if t is text or SUSPICIOUS.search(t) for c in dict.fromkeys(step(t) for step in steps) if c not in seen and not seen.add(c)]
         out += front
     return out
 
@@ -243,16 +243,17 @@ def train(texts: DataFrame, text_col: str) -> CharModel:
     The margin lies above every gain that a chain reaches on held-out records, but for one in a thousand. Equal texts are
     held out together. Trigrams with a zero character are left out.
     """
-    clean = texts.where(F.col(text_col).isNotNull() & ~F.col(text_col).rlike(SUSPICIOUS.pattern)).select(F.col(text_col).alias("t"))
-    n = clean.count()
+    texts = texts.select(F.col(text_col).alias("t"))
+    n = texts.count()
     share = min(0.5, VALIDATION_ROWS / max(n, 1))
     held = F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)
+    clean = ~F.col("t").rlike(SUSPICIOUS.pattern)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = trigram_counts(pdf["t"] for pdf in batches)
-        yield pd.DataFrame({"g": list(rows), "n": list(rows.values())}, columns=["g", "n"])
+        yield pd.DataFrame(list(rows.items()), columns=["g", "n"])
 
-    counted = clean.where(~held).mapInPandas(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counted = texts.where(~held).where(clean).mapInPandas(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
     counted = cut(counted)
     total = counted.agg(F.sum("n")).first()[0] or 0
     model = CharModel({r.g: r.n for r in counted.where(F.col("n") >= GRAM_SHARE * total).collect()} or {"   ": 1})
@@ -261,7 +262,7 @@ def train(texts: DataFrame, text_col: str) -> CharModel:
         for pdf in batches:
             yield pd.DataFrame({"g": [model.gain(t) for t in pdf["t"]]})
 
-    reached = sorted([2.0, *(r.g for r in clean.where(held).mapInPandas(gains, "g double").where("g > 0").collect())])
+    reached = sorted([2.0, *(r.g for r in texts.where(held).where(clean).mapInPandas(gains, "g double").where("g > 0").collect())])
     rank = int(0.001 * n * share)
     model.margin = max(2.0, (reached[-1 - rank] if rank < len(reached) else 2.0) + 0.5)
     return model

@@ -5,8 +5,8 @@ need an identifier inside; weak ones that ordinary prose also uses (``[ ]``, ``<
 an upper-case or compound identifier, or an "insert here" mark. A placeholder inside a code block, inside back-ticks or
 right after words of a tutorial is discounted unless placeholders make up much of the text.
 
-Whole-text residue (filler, error messages, notices) is measured as density: the share of the folded text covered by
-consecutive residue units from its start. Real texts that merely speak of such things have low density.
+Whole-text residue (filler, error messages, notices) is measured as density: the share of the folded text that residue units
+cover, wherever they stand. Real texts that merely speak of such things have low density.
 
 Null, empty and blank texts are no residue. Very long texts are processed whole.
 """
@@ -250,33 +250,32 @@ _GAP = re.compile(r"[\s.,;:!?…|/()\[\]–—-]*")
 RESIDUE_DENSITY = 0.85
 
 
+_TOKEN = re.compile(r"\w+|\W")
+
+
 def residue_density(folded: str) -> float:
-    """Share of a folded text covered by consecutive residue units from its start."""
-    pos, covered = _GAP.match(folded).end(), 0
+    """Share of the letters and digits of a folded text that residue units cover, wherever they stand in it.
+
+    0 as soon as more is uncovered than ``RESIDUE_DENSITY`` allows.
+    """
     total = sum(map(str.isalnum, folded))
     if not total:
         return 0.0
+    room = (1 - RESIDUE_DENSITY) * total
+    pos, covered, missed = _GAP.match(folded).end(), 0, 0
     while pos < len(folded):
         m = UNIT.match(folded, pos)
-        if not m or m.end() == pos:
-            break
-        covered += sum(map(str.isalnum, m.group()))
+        if m and m.end() > pos:
+            covered += sum(map(str.isalnum, m.group()))
+        else:
+            m = _TOKEN.match(folded, pos)
+            missed += sum(map(str.isalnum, m.group()))
+            if missed > room:
+                return 0.0
         pos = _GAP.match(folded, m.end()).end()
     return covered / total
 
 
-_FIRST = re.compile(
-    r"\W*(?:error|erro|http|status|[1-5]\d\d\b|ups|oops|ops|necesitas|para continuar|sin |este |tu |su |sua |your |cargando|activa|"
-    r"ative|e preciso|you need|please|comprueba|verif|checking|estamos|contenido|conteudo|content|for sub|exclusive|"
-    r"inicia|faca|log in|sign in|aqui va|escriba|escribe|escreva|inserte|insira|insert|write|pendiente|pendente|to be|tbd|"
-    r"todo |borrador|rascunho|draft|titulo \d|this |texto|dummy|sample|bla|placeholder|ejemplo|"
-    + "|".join(sorted({m.split()[0] for m in ERROR_MESSAGES} | set(FILLER_WORDS), key=len, reverse=True))
-    + r"|"
-    + MASHED_WORDS
-    + r")"
-)
-
-
 def _garbled_fix(text: str) -> str:
     if "Ã" in text or "â€" in text:
         from tamiz.llm.encoding import repair
@@ -285,17 +284,31 @@ def _garbled_fix(text: str) -> str:
     return text
 
 
-def is_residue_text(text: str) -> bool:
-    """Whether a text without page furniture is only filler, an error message or a notice."""
-    if _REPEATED.match(text):
-        return residue_density(fold(text)) >= RESIDUE_DENSITY
-    head = fold(text[:40])
-    if not _FIRST.match(head):
-        return False
-    return residue_density(fold(text)) >= RESIDUE_DENSITY
+#: How residue units begin: only where one may begin within the part of a text that may stay uncovered, its density is worked out.
+_FIRST = re.compile(
+    r"(?:error|erro|http|status|[1-5]\d\d\b|[¡!]?(?:ups|oops|ops)|necesitas|para continuar|sin |este |tu |su |sua |your |cargando|activa|"
+    r"ative|e preciso|you need|please|comprueba|verif|checking|estamos|contenido|conteudo|content|for sub|exclusive|"
+    r"inicia|faca|log in|sign in|aqui va|escriba|escribe|escreva|inserte|insira|insert|write|pendiente|pendente|to be|tbd|"
+    r"todo |\[?borrador|\[?rascunho|\[?draft|titulo \d|this |intent|tente|try|request|volver|voltar|return|contact|id de|reference|puede usar|gracias|obrigado|thank|max\.|\d+ (?:car|wor|pal|cha)|"
+    + "|".join(sorted({re.escape(m.split()[0]) for m in ERROR_MESSAGES} | set(FILLER_WORDS), key=len, reverse=True))
+    + r"|"
+    + MASHED_WORDS
+    + r"|(\b[\w ]{2,40}?\w)[ ,.]+\1\b)"
+)
 
 
-_REPEATED = re.compile(r"\W*(\b[^\W\d][\w ]{1,40}?\w)[ ,.]+\1\b", re.I)
+def is_residue_text(text: str) -> bool:
+    """Whether a text without page furniture is only filler, an error message or a notice."""
+    room = (1 - RESIDUE_DENSITY) * len(text) + 1
+    head = fold(text[: int(room) + 100])
+    pos, missed = _GAP.match(head).end(), 0
+    while pos < len(head) and missed <= room:
+        if _FIRST.match(head, pos):
+            return residue_density(fold(text)) >= RESIDUE_DENSITY
+        end = _TOKEN.match(head, pos).end()
+        missed += end - pos
+        pos = _GAP.match(head, end).end()
+    return False
 
 
 def is_residue_quote(text: str | None) -> bool:
