@@ -53,8 +53,8 @@ ENGLISH = rf"^(?:[^\d\s,]+,\s+)?([^\d\s]+)\s+(\d{{1,2}}),?\s+(\d{{4}})(?:,?\s+(?
 DIGITS = rf"^(\d{{1,2}})([/.-])(\d{{1,2}})\2(\d{{4}}|\d{{2}})(?:,?\s+{_CLOCK}{_HALF}(?:\s*h(?:rs?)?\.?)?)?{_ZONE}$"
 EPOCH = r"^\d{1,17}$"
 
-#: Pseudo-counts of the order stated for a source, and of either order where none is stated.
-STATED, UNSTATED = 10_000.0, 1.0
+#: Weight of the order stated for a source, and of any other order, as shares of the source's ambiguous values, so that the prior carries alike at every size.
+STATED, UNSTATED = 10.0, 0.001
 ROUNDS = 30
 
 
@@ -92,8 +92,9 @@ _LIKELIHOOD = [0.5 * math.exp(-sum(_BIN_DAYS[:k]) / 10) / 10 + 0.5 / 1200 for k
 def _em(pdf: pd.DataFrame) -> pd.DataFrame:
     """Posterior of day-first per pair of bins within one source; ``pdf`` has a row per pair with its count."""
     prior = pdf["orden"].iloc[0]
-    a = STATED if prior == "dmy" else UNSTATED
-    b = STATED if prior == "mdy" else UNSTATED
+    total = max(float(pdf["n"].sum()), 1.0)
+    a = total * (STATED if prior == "dmy" else UNSTATED)
+    b = total * (STATED if prior == "mdy" else UNSTATED)
     l_d = pdf["bin_d"].map(lambda k: 0.0 if k < 0 else _LIKELIHOOD[k]).to_numpy()
     l_m = pdf["bin_m"].map(lambda k: 0.0 if k < 0 else _LIKELIHOOD[k]).to_numpy()
     n = pdf["n"].to_numpy()
