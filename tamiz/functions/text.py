@@ -129,6 +129,31 @@ def size_band(n: Column) -> Column:
     )
 
 
+_PEOPLE = r"(?:empleados|colaboradores|personas|trabajadores|integrantes|funcionários|employees|people|team\s+members|staff)"
+_NUMBER = r"([0-9][0-9.,]*)"
+
+
+def _whole(x: Column) -> Column:
+    return F.regexp_replace(x, "[.,]", "").try_cast("long")
+
+
+def declared_size(text: Column) -> Column:
+    """Head count that a text declares: the upper bound of a range, else the greatest number of people from 1 to 5,000,000; null if none."""
+    low = F.lower(text)
+    bound = _whole(F.regexp_extract(low, _NUMBER + r"\s*[-–a]\s*" + _NUMBER + r"\s*\+?\s*" + _PEOPLE, 2))
+    single = F.transform(F.regexp_extract_all(low, F.lit(_NUMBER + r"\s*\+?\s*" + _PEOPLE), 1), _whole)
+    return F.coalesce(F.when(bound > 0, bound), F.array_max(F.filter(single, lambda n: n.between(1, 5_000_000))))
+
+
+FOUNDED = r"(?:fundad[ao]s?|founded|establecid[ao]s?|cread[ao]s?|nacimos|desde|since|est\.?)[^0-9]{0,12}([0-9]{4})"
+
+
+def declared_year(text: Column, last: int) -> Column:
+    """The first founding year between 1900 and ``last`` that a text declares; null if none."""
+    years = F.transform(F.regexp_extract_all(F.lower(text), F.lit(FOUNDED), 1), lambda y: y.try_cast("int"))
+    return F.try_element_at(F.filter(years, lambda y: y.between(1900, last)), F.lit(1))
+
+
 def numbers_before(text: Column, words: str) -> Column:
     """Whole numbers that stand before one of the words (an alternation)."""
     found = F.regexp_extract_all(F.lower(text), F.lit(rf"([0-9][0-9.]*)\s+(?:{words})"), 1)

@@ -41,12 +41,22 @@ def coalescing_upsert(old: DataFrame, new: DataFrame, key: str, fields: list[str
 def failure_runs(runs: DataFrame, source: str, order: list[str], ok: Column, threshold: int = 2) -> DataFrame:
     """Consecutive failures after each run of a source (reset by success), and whether that raises an alert.
 
-    Gaps and islands: the number of successes so far names the island.
+    Gaps and islands: the number of successes so far names the island. A source may have any number of runs: they are
+    range-partitioned by source and order, each piece is counted on its own, and what a piece ends with is carried over to the
+    next ones, of which there are as many as partitions.
     """
-    w = W.partitionBy(source).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    r = runs.withColumn("__isla", F.sum(ok.cast("int")).over(w)).withColumn("__fallo", (~ok).cast("int"))
-    streak = F.sum("__fallo").over(W.partitionBy(source, "__isla").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return r.withColumn("fallos_seguidos", streak.cast("long")).withColumn("alerta", F.col("fallos_seguidos") >= threshold).drop("__isla", "__fallo")
+    pieces = cut(runs.repartitionByRange(source, *order).withColumn("__p", F.spark_partition_id()).withColumn("__ok", ok.cast("long")))
+    w = W.partitionBy(source, "__p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    r = pieces.withColumn("__isla", F.sum("__ok").over(w))
+    r = r.withColumn("__local", F.sum(1 - F.col("__ok")).over(W.partitionBy(source, "__p", "__isla").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    last = r.groupBy(F.col(source).alias("__s"), F.col("__p").alias("__q"), "__isla").agg(F.sum(1 - F.col("__ok")).alias("f"))
+    last = last.groupBy("__s", "__q").agg(F.max(F.struct("__isla", "f")).alias("m")).select("__s", "__q", (F.col("m.__isla") > 0).cast("long").alias("hubo"), "m.f")
+    before = W.partitionBy("__s").orderBy("__q")
+    last = last.withColumn("g", F.sum("hubo").over(before))
+    last = last.withColumn("acumulado", F.sum("f").over(W.partitionBy("__s", "g").orderBy("__q"))).withColumn("trae", F.coalesce(F.lag("acumulado").over(before), F.lit(0)))
+    out = r.join(last.select("__s", "__q", "trae"), F.col(source).eqNullSafe(F.col("__s")) & (F.col("__p") == F.col("__q")))
+    streak = F.col("__local") + F.when(F.col("__isla") == 0, F.col("trae")).otherwise(0)
+    return out.select(*runs.columns, streak.cast("long").alias("fallos_seguidos"), (streak >= threshold).alias("alerta"))
 
 
 def accept_by_keys(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:

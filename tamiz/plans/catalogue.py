@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.plans import analysis, capture, governance, more, records, reports, scoring, temporal
+from tamiz.plans import analysis, capture, exchange, governance, more, profiles, records, reports, scoring, temporal
 from tamiz.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = {**analysis.QUERIES, **records.QUERIES, **temporal.QUERIES, **more.QUERIES, **scoring.QUERIES, **reports.QUERIES, **governance.QUERIES, **capture.QUERIES}
+ALL = {**analysis.QUERIES, **records.QUERIES, **temporal.QUERIES, **more.QUERIES, **scoring.QUERIES, **reports.QUERIES, **governance.QUERIES, **capture.QUERIES, **exchange.QUERIES, **profiles.QUERIES}
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamiz.functions.text import collapse, strip_accents
+from tamiz.functions.text import strip_accents
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +51,12 @@ def rss(df: DataFrame, default_outlet: str = "") -> DataFrame:
     return items.unionByName(entries).withColumnRenamed("description", "resumen").where("titulo <> '' and url <> ''")
 
 
+def first_items(items: DataFrame, most: int = 20) -> DataFrame:
+    """The first ``most`` items of each feed (one document) by date, newest first, then by address."""
+    w = Window.partitionBy("origen").orderBy(F.desc("fecha"), "url")
+    return items.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+
+
 def mentions(items: DataFrame, name: Column) -> DataFrame:
     """Items that mention the name in title or summary, whatever case and accents."""
     low = lambda c: F.lower(strip_accents(c))
@@ -58,7 +64,10 @@ def mentions(items: DataFrame, name: Column) -> DataFrame:
 
 
 def articles(df: DataFrame) -> DataFrame:
-    """Article lists: ``{"articles": [{url, title, seendate, domain, language}]}``; dates as ``yyyyMMddTHHmmssZ``."""
+    """Article lists: ``{"articles": [{url, title, seendate, domain, language}]}``; dates as ``yyyyMMddTHHmmssZ``.
+
+    A body that isn't such a list (a limit notice, say) gives no rows, so that ``health`` counts it as a failure.
+    """
     j = F.from_json("cuerpo", "articles array<struct<url:string,title:string,seendate:string,domain:string,language:string>>")
     a = df.select("origen", F.explode(j["articles"]).alias("a"))
     when = F.try_to_timestamp(F.regexp_replace("a.seendate", "Z$", "+0000"), F.lit("yyyyMMdd'T'HHmmssxx"))
@@ -108,6 +117,28 @@ def stories(df: DataFrame) -> DataFrame:
     )
 
 
+def kept_raw(captures: DataFrame, now: Column) -> DataFrame:
+    """What a purge at ``now`` keeps: captures that haven't expired; those without an instant stay."""
+    return captures.where(F.col("expira_en").isNull() | (F.col("expira_en") >= now))
+
+
+def board_state(responses: DataFrame) -> DataFrame:
+    """State of job boards by the status of their answer: 404 means there is no such board, other errors are failures."""
+    s = F.col("estado_http")
+    return responses.withColumn("estado", F.when(s == 404, "ausente").when((s >= 200) & (s < 300), "ok").otherwise("fallo"))
+
+
+def capture_state(responses: DataFrame) -> DataFrame:
+    """State of page captures: timeout, blocked, HTTP error, redirected away, no content, application shell, ok; the first that holds."""
+    s, t = F.col("estado_http"), F.coalesce("texto", F.lit(""))
+    gone = F.coalesce(F.col("url_final"), F.col("url")) != F.col("url")
+    state = (
+        F.when(s.isNull(), "timeout").when(s.isin(401, 403, 429), "bloqueado").when(s >= 400, "error_http").when(gone & (F.length(t) < 20), "redirigido")
+        .when(F.length(t) < 20, "contenido_vacio").otherwise("ok")
+    )
+    return responses.withColumn("estado", state)
+
+
 def health(df: DataFrame, rows: DataFrame) -> DataFrame:
     """Payloads and how many rows each gave; those without any are failures."""
     n = rows.groupBy("origen").agg(F.count("*").alias("filas"))
@@ -117,12 +148,10 @@ def health(df: DataFrame, rows: DataFrame) -> DataFrame:
 def cues(df: DataFrame) -> DataFrame:
     """Lines of VTT or SRT subtitles with the time of their cue, in order: (``origen``, ``pos``, ``segundo``, ``linea``)."""
     lines = df.select("origen", F.posexplode(F.split("cuerpo", r"\r?\n")).alias("pos", "l")).withColumn("l", F.trim("l"))
-    from pyspark.sql import Window as W
-
     stamp = F.regexp_extract("l", r"(\d{2}):(\d{2}):(\d{2})[.,]\d{3}", 0)
     part = lambda k: F.substring(stamp, k, 2).try_cast("int")
     second = F.when(F.contains("l", F.lit("-->")) & (stamp != ""), part(1) * 3600 + part(4) * 60 + part(7))
-    w = W.partitionBy("origen").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = Window.partitionBy("origen").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("segundo", F.last(second, ignorenulls=True).over(w))
     text = F.trim(F.regexp_replace("l", r"<[^>]+>", ""))
     keep = ~F.contains("l", F.lit("-->")) & (text != "") & (F.upper("l") != "WEBVTT") & ~F.col("l").rlike(r"^\d+$") & F.col("segundo").isNotNull()
@@ -214,12 +243,6 @@ def pages(df: DataFrame) -> DataFrame:
     return p.select("origen", F.when(state == "ok", F.col("texto")).otherwise("").alias("texto"), "discurso", state.alias("estado"))
 
 
-def markdown(rows: DataFrame, group: str, line: Column) -> DataFrame:
-    """(``group``, ``texto``): a heading per group and its lines in order, for export."""
-    each = rows.select(group, collapse(line).alias("l")).groupBy(group).agg(F.array_sort(F.collect_list("l")).alias("ls"))
-    return each.select(group, F.concat(F.lit("## "), F.col(group), F.lit("\n"), F.array_join(F.transform("ls", lambda x: F.concat(F.lit("- "), x)), "\n")).alias("texto"))
-
-
-def retain(df: DataFrame, path: str, key: str) -> None:
-    """Write raw captures compressed, in folders by the first two characters of the key."""
-    df.withColumn("prefijo", F.substring(key, 1, 2)).write.mode("append").option("compression", "gzip").partitionBy("prefijo").json(path)
+def retain(df: DataFrame, path: str, key: str, days: int = 90) -> None:
+    """Write raw captures compressed, in folders by the first two characters of the key, with the instant at which they expire."""
+    df.withColumn("prefijo", F.substring(key, 1, 2)).withColumn("expira_en", F.date_format(F.current_timestamp() + F.make_dt_interval(F.lit(days)), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("append").option("compression", "gzip").partitionBy("prefijo").json(path)

@@ -1,11 +1,14 @@
 """Readers on small payloads, broken ones included."""
 
 import datetime as dt
+import glob
 
 from pyspark.sql import functions as F
 
 from tamiz.functions import text as T
+from tamiz.sources import exports as X
 from tamiz.sources import feeds as S
+from tamiz.sources import normalise as N
 
 RSS = """<?xml version="1.0"?><rss><channel><title>t</title>
 <item><title>Núbank levanta capital - Medio</title><link>http://a/1</link><pubDate>Sat, 27 May 2023 05:08:32 GMT</pubDate><source url="x">Medio</source><description>d</description></item>
@@ -59,8 +62,15 @@ def test_pages_and_markdown(spark, tmp_path):
     got = {r.origen: r for r in S.pages(load(spark, html, "<p>x</p>", None, '<div id="app">cargando la aplicación ahora</div>')).collect()}
     assert got["0"].texto == "Texto visible de la página" and "descripción" in got["0"].discurso
     assert [got[str(k)].estado for k in range(4)] == ["ok", "contenido_vacio", "contenido_vacio", "spa"]
-    m = S.markdown(spark.createDataFrame([("A", "b"), ("A", "a")], "g string, l string"), "g", F.col("l")).first()
-    assert m.texto == "## A\n- a\n- b"
+    lines = X.markdown_lines(spark.createDataFrame([("A", 2, "b"), ("A", 1, "a"), (None, 3, "c")], "g string, k int, l string"), "g", "k", F.col("l"))
+    X.write_lines(lines, ["grupo", "nivel", "clave"], str(tmp_path / "md"))
+    text = [open(p, encoding="utf-8").read() for p in sorted(glob.glob(str(tmp_path / "md" / "part-*")))]
+    assert "".join(text) == "## \n- c\n## A\n- a\n- b\n"
+    X.to_csv(spark.createDataFrame([("a,b", ["x", "y"])], "g string, l array<string>").coalesce(1), str(tmp_path / "csv"))
+    X.to_json(spark.createDataFrame([(None, 1)], "g string, n int").coalesce(1), str(tmp_path / "json"))
+    read = lambda d: open(glob.glob(str(tmp_path / d / "part-*"))[0], encoding="utf-8").read()
+    assert read("csv") == '\ufeffg,l\n"a,b",x|y\n' and read("json") == '{"g":null,"n":1}\n'
+    assert X.html_lines(spark.createDataFrame([(1, "<b>&'")], "k int, t string"), "k", ["t"]).first().linea == "<tr><td>&lt;b&gt;&amp;&#x27;</td></tr>"
     S.retain(spark.createDataFrame([("abc", 1)], "h string, x int"), str(tmp_path / "r"), "h")
     assert spark.read.json(str(tmp_path / "r")).first().prefijo == "ab"
 
@@ -74,3 +84,22 @@ def test_mailboxes(spark):
 def test_query_url(spark):
     u = spark.range(1).select(S.query_url("http://s", F.lit("a b"), F.lit(True), {"hl": "es"}).alias("u")).first().u
     assert u == "http://s?q=%22a+b%22&hl=es"
+
+
+def test_normalise(spark):
+    items = spark.createDataFrame([(" T ", "http://a/1 ", None, None, "<p>r</p>"), ("U", "http://a/2", "M", dt.datetime(2024, 1, 2, 3, 4, 5), None)], "titulo string, url string, medio string, fecha timestamp, resumen string")
+    got = {r.cita_textual: r for r in N.records(items, "noticias", F.lit("Clara"), F.lit("ronda"), F.lit("now")).collect()}
+    assert (got["T"].nombre_medio, got["T"].fecha_publicacion, got["T"].url_fuente) == ("Google News", None, "http://a/1")
+    assert (got["U"].nombre_medio, got["U"].fecha_publicacion, got["U"].tipo_evento) == ("M", "2024-01-02T03:04:05+00:00", "ronda")
+    assert N.records(items, "vacantes", F.lit("C"), F.lit("x"), F.lit("n")).first().tipo_evento == "contratacion"
+    assert {r.texto for r in N.pushes(items, F.lit("C")).collect()} == {"T. r", "U"}
+    assert N.region_clause("Costa Rica") == '("Costa Rica")' and N.region_clause("Toda") == "" and N.region_clause("LATAM").count(" OR ") == 7
+
+
+def test_states(spark):
+    r = spark.createDataFrame([(404,), (200,), (500,)], "estado_http int")
+    assert [x.estado for x in S.board_state(r).collect()] == ["ausente", "ok", "fallo"]
+    c = spark.createDataFrame([(None, "u", "u", ""), (403, "u", "u", ""), (500, "u", "u", ""), (200, "u", "v", ""), (200, "u", "u", "x"), (200, "u", "v", "x" * 30)], "estado_http int, url string, url_final string, texto string")
+    assert [x.estado for x in S.capture_state(c).collect()] == ["timeout", "bloqueado", "error_http", "redirigido", "contenido_vacio", "ok"]
+    i = spark.createDataFrame([("f", f"t{k}", f"u{k}", "m", dt.datetime(2024, 1, 1 + k)) for k in range(25)], "origen string, titulo string, url string, medio string, fecha timestamp")
+    assert sorted(x.url for x in S.first_items(i, 3).collect()) == ["u22", "u23", "u24"]
