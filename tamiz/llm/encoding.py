@@ -113,14 +113,10 @@ Score = Callable[[str], float]
 
 def plain_score(text: str) -> float:
     """Score without a trained model: characters outside the clean alphabet, and letters of odd case, cost."""
-    bad = 0.0
-    for c in text:
-        if ord(c) > 126 and c not in CLEAN:
-            bad += 4
-    bad += 4 * len(_ODD.findall(text))
-    return -bad
+    return -4.0 * (len(_FOREIGN.findall(text)) + len(_ODD.findall(text)))
 
 
+_FOREIGN = re.compile(rf"[^\x00-\x7e{re.escape(CLEAN)}]")
 _ODD = re.compile(rf"[{_LOW}][·±ÁÉÍÓÚÑÀÇÃÕÂÊÔªº°](?=[{_LOW} ,.;:?!”»)]|$)|[ÃÂ][\xa0-\xbf€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œ]|(?<= )[ÚÓ](?= [{_LOW}])")
 
 

@@ -251,6 +251,28 @@ RESIDUE_DENSITY = 0.85
 
 
 _TOKEN = re.compile(r"\w+|\W")
+_TWICE = re.compile(r"(\b[\w ]{2,40}?\w)[ ,.]+\1\b")
+#: How residue units begin, so that ``UNIT`` is tried only where one may stand.
+_OPENERS = tuple(
+    dict.fromkeys(
+        (
+            *(m[:9] for m in ERROR_MESSAGES), *FILLER_WORDS, *"error erro http status ups oops ops cargando escriba escribe inserte tbd borrador rascunho draft gracias obrigado xxx zzz aaa asdf asdasd qwerty test prueba foo bar abc 123".split(),
+            "necesitas activar", "para continuar", "sin los sc", "sin os sc", "sin scr", "sin jav", "este sitio req", "tu navegador", "activa ", "e preciso", "ative ", "you need to", "please ", "comprueba que", "verificando", "verifying", "checking your",
+            "estamos validando", "tu s", "su s", "sua s", "your s", "inicia sesion", "faca login", "log in", "sign in", "contenido exc", "contenido no", "conteudo exc", "conteudo ind", "content not", "this content", "for subscribers", "exclusive to",
+            "este video", "este contenido", "este conteudo", "this video", "aqui va", "insira aqui", "escreva aqui", "write ", "insert ", "your text", "pendiente de", "pendente de", "to be written", "todo el ", "todo la ", "todo a ", "todo o ", "todo the ",
+            "titulo ", "intenta de", "intentalo de", "tente nov", "try again", "request blocked", "volver al", "voltar ao", "return to", "contacta al", "contact the", "id de ref", "reference id", "puede usar el", "thank you", "max. ", "[",
+        )
+    )
+)
+
+
+def _unit_at(folded: str, pos: int, end: int) -> re.Match[str] | None:
+    """The residue unit that begins at ``pos``, where a token ends at ``end``."""
+    if folded.startswith(_OPENERS, pos) or folded[pos].isdigit() or folded.endswith(("| ", "("), 0, pos):
+        return UNIT.match(folded, pos)
+    if folded.find(folded[pos:end], end, end + 60) >= 0 and _TWICE.match(folded, pos):
+        return UNIT.match(folded, pos)
+    return None
 
 
 def residue_density(folded: str) -> float:
@@ -258,22 +280,20 @@ def residue_density(folded: str) -> float:
 
     0 as soon as more is uncovered than ``RESIDUE_DENSITY`` allows.
     """
-    total = sum(map(str.isalnum, folded))
-    if not total:
-        return 0.0
-    room = (1 - RESIDUE_DENSITY) * total
+    room = (1 - RESIDUE_DENSITY) * len(folded)
     pos, covered, missed = _GAP.match(folded).end(), 0, 0
     while pos < len(folded):
-        m = UNIT.match(folded, pos)
+        end = _TOKEN.match(folded, pos).end()
+        m = _unit_at(folded, pos, end)
         if m and m.end() > pos:
+            end = m.end()
             covered += sum(map(str.isalnum, m.group()))
-        else:
-            m = _TOKEN.match(folded, pos)
-            missed += sum(map(str.isalnum, m.group()))
+        elif folded[pos].isalnum():
+            missed += end - pos
             if missed > room:
                 return 0.0
-        pos = _GAP.match(folded, m.end()).end()
-    return covered / total
+        pos = _GAP.match(folded, end).end()
+    return covered / (covered + missed) if covered else 0.0
 
 
 def _garbled_fix(text: str) -> str:
@@ -284,31 +304,9 @@ def _garbled_fix(text: str) -> str:
     return text
 
 
-#: How residue units begin: only where one may begin within the part of a text that may stay uncovered, its density is worked out.
-_FIRST = re.compile(
-    r"(?:error|erro|http|status|[1-5]\d\d\b|[¡!]?(?:ups|oops|ops)|necesitas|para continuar|sin |este |tu |su |sua |your |cargando|activa|"
-    r"ative|e preciso|you need|please|comprueba|verif|checking|estamos|contenido|conteudo|content|for sub|exclusive|"
-    r"inicia|faca|log in|sign in|aqui va|escriba|escribe|escreva|inserte|insira|insert|write|pendiente|pendente|to be|tbd|"
-    r"todo |\[?borrador|\[?rascunho|\[?draft|titulo \d|this |intent|tente|try|request|volver|voltar|return|contact|id de|reference|puede usar|gracias|obrigado|thank|max\.|\d+ (?:car|wor|pal|cha)|"
-    + "|".join(sorted({re.escape(m.split()[0]) for m in ERROR_MESSAGES} | set(FILLER_WORDS), key=len, reverse=True))
-    + r"|"
-    + MASHED_WORDS
-    + r"|(\b[\w ]{2,40}?\w)[ ,.]+\1\b)"
-)
-
-
 def is_residue_text(text: str) -> bool:
     """Whether a text without page furniture is only filler, an error message or a notice."""
-    room = (1 - RESIDUE_DENSITY) * len(text) + 1
-    head = fold(text[: int(room) + 100])
-    pos, missed = _GAP.match(head).end(), 0
-    while pos < len(head) and missed <= room:
-        if _FIRST.match(head, pos):
-            return residue_density(fold(text)) >= RESIDUE_DENSITY
-        end = _TOKEN.match(head, pos).end()
-        missed += end - pos
-        pos = _GAP.match(head, end).end()
-    return False
+    return residue_density(fold(text)) >= RESIDUE_DENSITY
 
 
 def is_residue_quote(text: str | None) -> bool:

@@ -178,5 +178,5 @@ def token_texts(ids: Column, path: str | None = None) -> Column:
 
 
 def p8_ids(documents: DataFrame) -> DataFrame:
-    """(``doc_id``, ``ids``) of every document; the documents are spread evenly, as texts differ much in length."""
+    """(``doc_id``, ``ids``) of every document; a map over the scan, so tasks are as even as the splits of the files."""
     return documents.select("doc_id", token_ids(F.col("text")).alias("ids"))
