@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tamiz.llm.tokenizer import token_counts
 from tamiz.session import cut
 
-#: Waste that a pattern may leave, as a share of the capacity; partners tried for each length; most documents of a pattern.
-WASTE, PARTNERS, SWEEPS = 0.004, 4, 25
+#: Waste that a pattern may leave, as a share of the capacity; partners tried for each length; patterns kept for each leading length, those that waste least; sweeps of the fit.
+WASTE, PARTNERS, KEPT, SWEEPS = 0.004, 4, 128, 25
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -58,50 +58,65 @@ class Plan:
 
 
 def enumerate_patterns(lengths: list[int], capacity: int) -> list[Pattern]:
-    """Patterns of two to four documents, led by each long length, that waste almost nothing."""
-    out: set[Pattern] = set()
-    lengths = sorted(lengths)
-    slack = max(0, int(capacity * WASTE))
-
-    def add(parts: list[int]) -> None:
-        out.add(tuple((x, parts.count(x)) for x in sorted(set(parts), reverse=True)))
-
-    def fill(parts: list[int], room: int, more: int) -> None:
-        if room <= slack:
-            add(parts)
-        if not more or room < lengths[0]:
-            return
-        hi = bisect_right(lengths, min(room, parts[-1]))
-        for k in range(hi - 1, max(-1, hi - 1 - (PARTNERS if more > 1 else 2)), -1):
-            fill([*parts, lengths[k]], room - lengths[k], more - 1)
-        if more > 1:
-            mid = bisect_right(lengths, min(parts[-1], room * 2 // 3))
-            for k in range(mid - 1, max(-1, mid - 1 - PARTNERS), -1):
-                fill([*parts, lengths[k]], room - lengths[k], more - 1)
+    """Patterns of two to four documents, led by each long length, that waste almost nothing: the ``KEPT`` best of each.
 
-    for x in lengths:
-        if 4 * x >= capacity:
-            fill([x], capacity - x, 3)
-    return sorted(out, reverse=True)
+    The patterns of one leading length are worked out together, level by level: a row is a pattern, its documents in
+    falling order; each is extended by the longest lengths that still fit and by the longest below two thirds of the room.
+    """
+    known = np.array(sorted(lengths), dtype=np.int64)
+    slack = max(0, int(capacity * WASTE))
+    out: list[Pattern] = []
+
+    def extend(parts: np.ndarray, room: np.ndarray, most: np.ndarray, tries: int) -> tuple[np.ndarray, np.ndarray]:
+        """All patterns of ``parts`` with one more document, of the ``tries`` longest lengths up to ``most``."""
+        at = np.searchsorted(known, most, side="right")[:, None] - 1 - np.arange(tries)[None, :]
+        row, col = np.nonzero(at >= 0)
+        one = known[at[row, col]]
+        return np.column_stack([parts[row], one]), room[row] - one
+
+    for x in known[4 * known >= capacity].tolist():
+        parts, room = np.array([[x]]), np.array([capacity - x])
+        done: list[tuple[int, tuple[int, ...]]] = [(capacity - x, (x,))] if capacity - x <= slack else []
+        for more in (3, 2, 1):
+            top = np.minimum(room, parts[:, -1])
+            grown = [extend(parts, room, top, PARTNERS if more > 1 else 2)]
+            if more > 1:
+                grown.append(extend(parts, room, np.minimum(parts[:, -1], room * 2 // 3), PARTNERS))
+            parts, room = np.concatenate([g[0] for g in grown]), np.concatenate([g[1] for g in grown])
+            full = np.flatnonzero(room <= slack)
+            best = full[np.argsort(room[full], kind="stable")[: 4 * KEPT]]
+            done += [(int(room[k]), tuple(parts[k].tolist())) for k in best]
+            if not len(parts):
+                break
+        for _, p in sorted(set(done))[:KEPT]:
+            out.append(tuple((n, p.count(n)) for n in sorted(set(p), reverse=True)))
+    return sorted(set(out), reverse=True)
 
 
 def fit_counts(patterns: list[Pattern], counts: dict[int, int]) -> np.ndarray:
-    """Non-negative least squares by coordinate descent: how often to use each pattern so that the lengths come out."""
+    """Non-negative least squares by coordinate descent: how often to use each pattern so that the lengths come out.
+
+    A pattern has four lengths at most, so a step touches four numbers.
+    """
     index = {length: k for k, length in enumerate(sorted(counts))}
-    rest = np.array([counts[length] for length in sorted(counts)], dtype=float)
-    cols = [([index[length] for length, _ in p], np.array([k for _, k in p], dtype=float)) for p in patterns]
-    x = np.zeros(len(patterns))
+    rest = [float(counts[length]) for length in sorted(counts)]
+    cols = [[(index[length], float(k)) for length, k in p] for p in patterns]
+    norms = [sum(k * k for _, k in c) for c in cols]
+    x = [0.0] * len(patterns)
     for _ in range(SWEEPS):
         moved = 0.0
-        for j, (rows, k) in enumerate(cols):
-            step = max(-x[j], float(k @ rest[rows]) / float(k @ k))
+        for j, c in enumerate(cols):
+            step = sum(k * rest[i] for i, k in c) / norms[j]
+            if step < -x[j]:
+                step = -x[j]
             if step:
                 x[j] += step
-                rest[rows] -= step * k
+                for i, k in c:
+                    rest[i] -= step * k
                 moved = max(moved, abs(step))
         if moved < 0.25:
             break
-    return x
+    return np.array(x)
 
 
 def make_plan(counts: dict[int, int], capacity: int) -> Plan:
@@ -172,6 +187,21 @@ def _exact_pair(lengths: list[int], left: dict[int, int], pattern: dict[int, int
     return None
 
 
+def plans_of(histogram: DataFrame, capacities: dict[str, int]) -> dict[str, Plan]:
+    """The plan of each group (``g``) from its histogram of lengths (``x``, ``n``): one task a group, whose histogram has at most as many rows as its capacity."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf["g"].iloc[0]
+        plan = make_plan(dict(zip(pdf["x"].tolist(), pdf["n"].tolist(), strict=True)), capacities[g])
+        rows = [(g, k, length, per, n) for k, (pattern, n) in enumerate(plan.runs) for length, per in pattern]
+        return pd.DataFrame(rows, columns=["g", "k", "x", "por", "n"])
+
+    runs: dict[str, dict[int, tuple[list[tuple[int, int]], int]]] = {g: {} for g in capacities}
+    for r in histogram.groupBy("g").applyInPandas(one, "g string, k int, x long, por int, n long").collect():  # bounded by the sum of the capacities
+        runs[r.g].setdefault(r.k, ([], r.n))[0].append((r.x, r.por))
+    return {g: Plan(capacities[g], [(tuple(sorted(p, reverse=True)), n) for _, (p, n) in sorted(by.items())]) for g, by in runs.items()}
+
+
 def pack(items: DataFrame, group: str, length: str, capacities: dict[str, int]) -> DataFrame:
     """``items`` with ``contenedor``, numbered from 0 within each ``group``; ``length`` lies between 1 and the capacity.
 
@@ -180,11 +210,9 @@ def pack(items: DataFrame, group: str, length: str, capacities: dict[str, int])
     """
     base = cut(items.withColumn("__pid", F.spark_partition_id()))
     kinds = dict(items.dtypes)
-    per = base.groupBy(group, length, "__pid").agg(F.count("*").alias("__n"))
-    hist: dict[str, dict[int, int]] = {g: {} for g in capacities}
-    for r in per.groupBy(group, length).agg(F.sum("__n").alias("n")).collect():  # bounded by the sum of the capacities
-        hist[r[0]][r[1]] = r.n
-    plans = {g: make_plan(h, capacities[g]).ranges() for g, h in hist.items()}
+    per = cut(base.groupBy(group, length, "__pid").agg(F.count("*").alias("__n")))
+    histogram = per.groupBy(F.col(group).alias("g"), F.col(length).alias("x")).agg(F.sum("__n").alias("n"))
+    plans = {g: plan.ranges() for g, plan in plans_of(histogram, capacities).items()}
     from pyspark.sql import Window as W
 
     before = W.partitionBy(group, length).orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
