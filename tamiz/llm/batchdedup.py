@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tamiz.llm.encoding import repair
+from tamiz.llm.encoding import repaired
 from tamiz.llm.residue import is_residue_quote
 from tamiz.llm.sortedruns import SortedRuns, lookup, placed
 from tamiz.llm.textutil import fold
@@ -89,7 +89,7 @@ def normal_form(text: str | None, outlets: frozenset[str]) -> str:
     """Words of a statement, folded, without labels and outlet names; damaged letters stay as U+FFFD. Empty for null."""
     if not text:
         return ""
-    text = unicodedata.normalize("NFC", _SIC.sub(" ", repair(text)[0]))
+    text = unicodedata.normalize("NFC", _SIC.sub(" ", repaired(text)))
     while (cutoff := _LABEL.sub("", text)) != text:
         text = cutoff
     while (m := _SUFFIX.search(text, max(0, len(text) - 80))) and fold(m.group(1)) in outlets:

@@ -204,9 +204,9 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def furniture_lines(text: str, model: LineModel) -> list[int]:
     """Numbers of the lines of ``text`` that are not part of the main body; blank lines never are."""
-    from tamiz.llm.encoding import repair
+    from tamiz.llm.encoding import repaired
 
-    lines = repair(text)[0].split("\n")
+    lines = repaired(text).split("\n")
     if len(lines) != text.count("\n") + 1:
         lines = text.split("\n")
     scores = scored_lines(lines, model)

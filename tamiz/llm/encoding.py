@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -171,6 +172,12 @@ def repair(text: str, score: Score = plain_score, margin: float = 2.0) -> tuple[
     return text, text != before, lost
 
 
+@lru_cache(64)
+def repaired(text: str) -> str:
+    """``text`` as ``repair`` restores it without a model; the last texts are kept, as several steps look at one text."""
+    return repair(text)[0]
+
+
 class CharModel:
     """Smoothed character n-gram model (interpolated over orders 1 to 3) from counts of trigrams, with the validated margin."""
 

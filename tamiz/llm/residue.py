@@ -298,9 +298,9 @@ def residue_density(folded: str) -> float:
 
 def _garbled_fix(text: str) -> str:
     if "Ã" in text or "â€" in text:
-        from tamiz.llm.encoding import repair
+        from tamiz.llm.encoding import repaired
 
-        return repair(text)[0]
+        return repaired(text)
     return text
 
 
