@@ -60,7 +60,7 @@ PAIRWISE = 64
 #: The forest's entries: sortable number and class.
 FOREST = "k long, clase long"
 #: Classes on which the ranges of keys are found into which a run is parted, and the entries that a part is to have.
-PARTING, PART_ROWS = 20_000, 2_000_000
+PARTING, PART_ROWS = 20_000, 32_000_000
 #: Numbers of the trees of exact keys and of record hashes; trees over all words follow those over telling words.
 EXACT_TREE, HASH_TREE = 2 * TREES, 2 * TREES + 1
 #: Bits of the number: the tree, the figures with the first two values of the label, then so many for each further value.
@@ -485,6 +485,7 @@ class AcceptedIndex:
             pool = fresh.unionByName(old.where("forma <> ''").select(F.col("id").alias("clase"), "forma"))
             links = links.unionByName(_verified(near, pool, self.common)).distinct()
             rows = rows.unionByName(old.select("id", "hash_dedup", F.col("id").alias("clase")))
+        own.drop()  # what was found in it is materialised
         found = settled(rows, fresh, self.common, cut(links), large, tested)
         if last:
             return found

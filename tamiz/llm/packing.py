@@ -197,7 +197,8 @@ def plans_of(histogram: DataFrame, capacities: dict[str, int]) -> dict[str, Plan
         return pd.DataFrame(rows, columns=["g", "k", "x", "por", "n"])
 
     runs: dict[str, dict[int, tuple[list[tuple[int, int]], int]]] = {g: {} for g in capacities}
-    for r in histogram.groupBy("g").applyInPandas(one, "g string, k int, x long, por int, n long").collect():  # bounded by the sum of the capacities
+    spread = histogram.repartition(8 * max(1, len(capacities)), "g")  # a fixed number of parts, so that the groups aren't put together
+    for r in spread.groupBy("g").applyInPandas(one, "g string, k int, x long, por int, n long").collect():  # bounded by the sum of the capacities
         runs[r.g].setdefault(r.k, ([], r.n))[0].append((r.x, r.por))
     return {g: Plan(capacities[g], [(tuple(sorted(p, reverse=True)), n) for _, (p, n) in sorted(by.items())]) for g, by in runs.items()}
 

@@ -1,12 +1,13 @@
 """Sorted runs of a table in a shared folder, searched by key ranges.
 
 A run is a set of Parquet files, range-partitioned and sorted by a 64-bit key ``k``. Beside it stands its index: the least
-and the greatest key of each row group. A search looks its ranges up in the index and opens only the row groups
-that overlap one of them; neither the rest of the run nor its other columns are read, and no run is shuffled. Files are
-opened where the tasks run, through the file system that the folder's address names, so a lost executor's task starts anew.
-``merge`` makes one run of all.
+and the greatest key of each file. A search looks its ranges up in the index, then in the footers of the files that
+overlap one, and opens only the row groups that do; neither the rest of the run nor its other columns are read, and no run
+is shuffled. Files are opened where the tasks run, through the file system that the folder's address names, so a lost
+executor's task starts anew. ``merge`` makes one run of all.
 
-Row groups hold ``GROUP_BYTES``, so the index has about 16,000 entries a TB of run; that is what tasks get sent.
+Tasks get sent the index: one entry a file, of which there are as many as whoever writes a run parts it into, and at most
+``MOST_FILES`` (some 100 MB); beyond that a search stops with an error, and merging runs into larger parts is the remedy.
 An empty run has no row groups; an empty set of ranges finds nothing; equal keys may lie in several row groups.
 """
 
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 
 #: Size of row groups in the files of a run.
 GROUP_BYTES = 1 << 22
+#: Most files of all runs of a search.
+MOST_FILES = 1_000_000
 #: Row groups and files that a task keeps open; rows that it makes at a time.
 OPEN_GROUPS, CHUNK = 16, 200_000
-INDEX = "archivo string, grupo int, filas long, bytes long, lo long, hi long"
+INDEX = "archivo string, filas long, bytes long, lo long, hi long"
 
 
 def _open(uri: str):
@@ -41,18 +44,28 @@ def _open(uri: str):
     return pq.ParquetFile(fs.open_input_file(path))
 
 
-def _row_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Index entries of files: extremes of the key per row group, from the files' footers."""
+def _footer(file: Any) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least key, greatest key and bytes of each row group of an open file, from its footer."""
+    meta = file.metadata
+    rows = []
+    for g in range(meta.num_row_groups):
+        group = meta.row_group(g)
+        at = next(c for c in range(group.num_columns) if group.column(c).path_in_schema == "k")
+        s = group.column(at).statistics
+        rows.append((s.min, s.max, group.total_byte_size))
+    return tuple(np.array(rows, dtype=np.int64).reshape(-1, 3).T)  # type: ignore[return-value]
+
+
+def _files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Index entries of files: rows, bytes and extremes of the key, from the files' footers."""
     for pdf in batches:
         rows = []
         for uri in pdf["archivo"]:
-            meta = _open(uri).metadata
-            for g in range(meta.num_row_groups):
-                group = meta.row_group(g)
-                at = next(c for c in range(group.num_columns) if group.column(c).path_in_schema == "k")
-                s = group.column(at).statistics
-                rows.append((uri, g, group.num_rows, group.total_byte_size, s.min, s.max))
-        yield pd.DataFrame(rows, columns=["archivo", "grupo", "filas", "bytes", "lo", "hi"])
+            file = _open(uri)
+            least, greatest, size = _footer(file)
+            if len(least):
+                rows.append((uri, file.metadata.num_rows, int(size.sum()), int(least[0]), int(greatest[-1])))
+        yield pd.DataFrame(rows, columns=["archivo", "filas", "bytes", "lo", "hi"])
 
 
 class SortedRuns:
@@ -72,19 +85,27 @@ class SortedRuns:
         placed.sortWithinPartitions("k", then).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{out}/filas")
         files = self.spark.read.parquet(f"{out}/filas").inputFiles()
         names = self.spark.createDataFrame([(f,) for f in files], "archivo string")
-        names.repartition(max(1, min(len(files), 64))).mapInPandas(_row_groups, INDEX).write.parquet(f"{out}/indice")
+        names.repartition(max(1, min(len(files), 64))).mapInPandas(_files, INDEX).write.parquet(f"{out}/indice")
         self.runs += 1
 
+    def drop(self) -> None:
+        """Remove the folder with all runs, through the file system that its address names."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.runs = 0
+
     def rows(self) -> DataFrame:
         """All rows of all runs."""
         return self.spark.read.parquet(*[f"{self.path}/{r}/filas" for r in range(self.runs)])
 
-    def index(self) -> list[tuple[Any, ...]]:
-        """(run, file, row group, rows, bytes, least key, greatest key) of all runs, in order."""
+    def index(self) -> list[list[tuple[str, int, int, int]]]:
+        """(file, bytes, least key, greatest key) of the files of each run, in order."""
         out = []
         for r in range(self.runs):
-            entries = self.spark.read.parquet(f"{self.path}/{r}/indice").where("filas > 0").orderBy("lo", "hi").collect()
-            out += [(r, e.archivo, e.grupo, e.filas, e.bytes, e.lo, e.hi) for e in entries]
+            entries = self.spark.read.parquet(f"{self.path}/{r}/indice").orderBy("lo", "hi").limit(MOST_FILES + 1).collect()
+            out.append([(e.archivo, e.bytes, e.lo, e.hi) for e in entries])
+        if sum(map(len, out)) > MOST_FILES:
+            raise ValueError(f"more than {MOST_FILES} files in the runs of {self.path}: merge them into larger parts")
         return out
 
     def search(
@@ -98,27 +119,30 @@ class SortedRuns:
         ``counts``: two accumulators, for the bytes of row groups opened and of all there are.
         """
         index = self.index()
-        runs = []
-        for r in range(self.runs):
-            mine = [e for e in index if e[0] == r]
-            # equal keys may straddle row groups, so both extremes rise, but not strictly
-            runs.append(([(e[1], e[2], e[4]) for e in mine], np.array([e[5] for e in mine], dtype=np.int64), np.array([e[6] for e in mine], dtype=np.int64)))
+        # equal keys may straddle files and row groups, so both extremes rise, but not strictly
+        runs = [([e[0] for e in run], np.array([e[2] for e in run], dtype=np.int64), np.array([e[3] for e in run], dtype=np.int64)) for run in index]
         if counts is not None:
-            counts[1].add(sum(e[4] for e in index))
+            counts[1].add(sum(e[1] for run in index for e in run))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: OrderedDict[tuple[str, int], pd.DataFrame] = OrderedDict()
-            files: OrderedDict[str, Any] = OrderedDict()
-
-            def load(uri: str, group: int, size: int) -> pd.DataFrame:
+            files: OrderedDict[str, tuple[Any, tuple[np.ndarray, np.ndarray, np.ndarray]]] = OrderedDict()
+
+            def opened(uri: str) -> tuple[Any, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                if uri not in files:
+                    file = _open(uri)
+                    files[uri] = (file, _footer(file))
+                    if len(files) > OPEN_GROUPS:
+                        files.popitem(last=False)
+                files.move_to_end(uri)
+                return files[uri]
+
+            def load(uri: str, group: int) -> pd.DataFrame:
                 if (uri, group) not in held:
-                    if uri not in files:
-                        files[uri] = _open(uri)
-                        if len(files) > OPEN_GROUPS:
-                            files.popitem(last=False)
-                    held[uri, group] = files[uri].read_row_group(group, columns=list(dict.fromkeys(["k", *columns]))).to_pandas()
+                    file, footer = opened(uri)
+                    held[uri, group] = file.read_row_group(group, columns=list(dict.fromkeys(["k", *columns]))).to_pandas()
                     if counts is not None:
-                        counts[0].add(size)
+                        counts[0].add(int(footer[2][group]))
                     if len(held) > OPEN_GROUPS:
                         held.popitem(last=False)
                 held.move_to_end((uri, group))
@@ -130,14 +154,18 @@ class SortedRuns:
                 lo, hi = pdf["lo"].to_numpy(dtype=np.int64), pdf["hi"].to_numpy(dtype=np.int64)
                 sizes = np.zeros(len(pdf), dtype=np.int64)
                 places = []
-                for groups, least, greatest in runs:
+                for names, least, greatest in runs:
                     first, last = np.searchsorted(greatest, lo, side="left"), np.searchsorted(least, hi, side="right")
-                    for g in _touched(first, last):
-                        at = np.flatnonzero((first <= g) & (last > g))
-                        keys = load(*groups[g])["k"].to_numpy(dtype=np.int64)
-                        a, b = np.searchsorted(keys, lo[at], side="left"), np.searchsorted(keys, hi[at], side="right")
-                        sizes[at] += b - a
-                        places.append((groups[g], at, a, b - a))
+                    for f in _touched(first, last):
+                        mine = np.flatnonzero((first <= f) & (last > f))
+                        low, high, _ = opened(names[f])[1]
+                        begin, end = np.searchsorted(high, lo[mine], side="left"), np.searchsorted(low, hi[mine], side="right")
+                        for g in _touched(begin, end):
+                            at = mine[(begin <= g) & (end > g)]
+                            keys = load(names[f], g)["k"].to_numpy(dtype=np.int64)
+                            a, b = np.searchsorted(keys, lo[at], side="left"), np.searchsorted(keys, hi[at], side="right")
+                            sizes[at] += b - a
+                            places.append(((names[f], g), at, a, b - a))
                 wide = sizes > (most if most is not None else np.iinfo(np.int64).max)
                 if crowded is not None and wide.any():
                     yield crowded(pdf[wide])

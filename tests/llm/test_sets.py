@@ -1,7 +1,9 @@
 """Names, batch deduplication, tokens and packing against brute force and round trips."""
 
+import glob
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -220,6 +222,33 @@ def test_batch_opens_matching_row_groups_only(spark, tmp_path, monkeypatch):
     late = spark.createDataFrame([(5000, "x", texts[7].upper()), (5001, "h9", "Otra cosa 1"), (5002, "y", "Sin par 2")], "id long, hash_dedup string, cita_textual string")
     assert {(r.id_a, r.id_b) for r in index.add_batch(late).collect()} == {(7, 5000), (9, 5001)}
     assert 0 < index.leidos.value < 0.35 * index.guardados.value
+    assert not glob.glob(str(tmp_path / "c" / "lote-*")) and len(glob.glob(str(tmp_path / "c" / "bosque" / "*"))) == 2
+
+
+def test_search_of_sorted_runs_equals_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "GROUP_BYTES", 1 << 12)
+    rng = random.Random(11)
+    runs = S.SortedRuns(spark, str(tmp_path / "r"))
+    data = []
+    for r in range(2):
+        rows = [(rng.choice([rng.randrange(-500, 500), 7, 7, -(1 << 62)]), 1000 * r + k) for k in range(900)]
+        runs.add(spark.createDataFrame(rows, "k long, v long").repartition(3), "v")
+        data += rows
+    runs.add(spark.createDataFrame([], "k long, v long"), "v")
+    asked = [(lo, lo + rng.randrange(0, 30), q) for q, lo in enumerate(rng.randrange(-600, 600) for _ in range(60))] + [(-(1 << 62), -(1 << 62), 100), (900, 999, 101)]
+    want = {(q, v) for lo, hi, q in asked for k, v in data if lo <= k <= hi}
+    ranges = spark.createDataFrame(asked, "lo long, hi long, q long")
+    take = lambda a, f: pd.DataFrame({"q": a["q"], "v": f["v"]})
+    assert {(r.q, r.v) for r in runs.search(ranges, ["v"], take, "q long, v long").collect()} == want
+    sizes = {q: sum(lo <= k <= hi for k, _ in data) for lo, hi, q in asked}
+    full = lambda a: pd.DataFrame({"q": a["q"], "v": -1})
+    got = {(r.q, r.v) for r in runs.search(ranges, ["v"], take, "q long, v long", 40, full).collect()}
+    assert got == {(q, v) for q, v in want if sizes[q] <= 40} | {(q, -1) for q, n in sizes.items() if n > 40}
+    one = runs.merge(str(tmp_path / "m"), "v")
+    assert one.runs == 1 and sorted(map(tuple, one.rows().select("k", "v").collect())) == sorted(data)
+    assert {r.k for r in S.lookup(one, spark.createDataFrame([(7,), (12345,)], "k long"), ["v"], "v long").collect()} == {7}
+    runs.drop()
+    assert not glob.glob(str(tmp_path / "r" / "*"))
 
 
 @pytest.fixture(scope="module")
