@@ -47,7 +47,7 @@ def source_health(spark, d):
     return last.select("connector", F.col("m.creado_en").alias("ultima"), F.col("m.fallos_seguidos").alias("fallos_seguidos"), F.col("m.alerta").alias("alerta"))
 
 
-def dolor_map(spark, d):
+def org_overview(spark, d):
     """Each organisation over five sources: news, directory, page captures, alerts and validation."""
     i = items(spark, d).where("org is not null")
     alerts = i.select("org", G.rule_alert(F.col("texto"))["puntos"].alias("p")).groupBy("org").agg(F.count_if(F.col("p") > 0).alias("senales"))
@@ -127,7 +127,7 @@ QUERIES = {
         SELECT id, CASE WHEN m IS NULL OR m < 1 THEN 'indeterminada' WHEN m <= 10 THEN '1-10' WHEN m <= 50 THEN '11-50' WHEN m <= 200 THEN '51-200' WHEN m <= 500 THEN '201-500' ELSE '501+' END AS escala, CAST(anio AS BIGINT) AS anio, correos FROM p"""),
     "source_health": (source_health, """WITH r AS (SELECT connector, creado_en, id, false AS ok FROM rechazos UNION ALL SELECT connector, creado_en, id, true FROM evidencias), i AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY connector ORDER BY creado_en, ok, id ROWS UNBOUNDED PRECEDING) AS isla FROM r),
         f AS (SELECT *, CAST(sum(CAST(NOT ok AS INT)) OVER (PARTITION BY connector, isla ORDER BY creado_en, ok, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS k, row_number() OVER (PARTITION BY connector ORDER BY creado_en DESC, ok DESC, id DESC) AS z FROM i) SELECT connector, creado_en AS ultima, k AS fallos_seguidos, k >= 2 AS alerta FROM f WHERE z = 1"""),
-    "dolor_map": (dolor_map, f"""WITH {VALIDATED}, s AS (SELECT coalesce({COMPANY.format(c="org_nombre")}, '') AS org, count(*) AS capturas, max(capturado_en) AS ultima_captura FROM drift_snapshots GROUP BY 1), a AS (SELECT org, count(DISTINCT id) AS senales FROM items, (VALUES {_marks}) r(tipo, palabra) WHERE org IS NOT NULL AND contains(lower(texto), palabra) GROUP BY 1),
+    "org_overview": (org_overview, f"""WITH {VALIDATED}, s AS (SELECT coalesce({COMPANY.format(c="org_nombre")}, '') AS org, count(*) AS capturas, max(capturado_en) AS ultima_captura FROM drift_snapshots GROUP BY 1), a AS (SELECT org, count(DISTINCT id) AS senales FROM items, (VALUES {_marks}) r(tipo, palabra) WHERE org IS NOT NULL AND contains(lower(texto), palabra) GROUP BY 1),
         e AS (SELECT t.org, p.sitio_web AS sitio, p.escala FROM entidades t JOIN prospectos p ON p.id = t.primero) SELECT v.org, v.n, v.hipotesis, v.veredicto, v.solidez, e.sitio, e.escala, coalesce(s.capturas, 0) AS capturas, s.ultima_captura, coalesce(a.senales, 0) AS senales FROM v LEFT JOIN e USING (org) LEFT JOIN s USING (org) LEFT JOIN a USING (org)"""),
     "dossier_json": (dossier_json, f"WITH {DOSSIERS} SELECT org, CAST(json_object('interes', icp, 'hipotesis', hipotesis, 'n', n, 'org', org, 'senales', list_sort(tags), 'vertical', vertical) AS VARCHAR) AS documento FROM d"),
     "best_sourced": (best_sourced, f"WITH {ITEMS} SELECT org, id, confianza_cent, url FROM (SELECT *, row_number() OVER (PARTITION BY org ORDER BY confianza_cent DESC, id) AS r FROM items WHERE org IS NOT NULL AND url <> '') WHERE r = 1"),
