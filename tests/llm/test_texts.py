@@ -231,6 +231,41 @@ def test_contexts_are_counted_one_by_one(spark):
             assert rows[int(k.view(np.int64))] == (ends, goes)
 
 
+def test_thresholds_are_set_on_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(X, "VALIDATION_ROWS", 40, raising=False)  # a cap that would draw some rows
+    rng = random.Random(9)
+    texts = corpus(rng, 600)
+    texts = [t[: rng.randint(len(t) // 2, len(t) - 4)] if rng.random() < 0.05 else t for t in texts]
+    lang = lambda k: "es" if k < 570 else "pt"  # noqa: E731 - the second has too few rows for a threshold of its own
+    e = spark.createDataFrame([(k, lang(k), t) for k, t in enumerate(texts)], "id long, nombre_medio string, cita_textual string").repartition(3)
+    media = spark.createDataFrame([("es", "es"), ("pt", "pt")], "nombre_medio string, idioma string")
+    got = {r.id: r for r in X.cut_rows(X._rows(e, media), frozenset()).collect()}
+
+    ready = [X.prepare(t, frozenset()) for t in texts]
+    more = lambda t: bool(X._MORE.search(t, 12))
+    own, ends, goes = X.merged(*X.count_contexts([t for t, _ in ready], [more(t) for t, _ in ready], np.full(1 << (X.BITMAP - 3), 255, np.uint8)))
+    known = {int(c): (int(a), int(b)) for c, a, b in zip(own, ends, goes, strict=True)}
+
+    def odds(some, leave_out):
+        table = np.zeros((len(some), 2, X.SLOTS), dtype=np.int64)
+        for n, c in zip(*X.final_contexts(some, [more(t) for t in some]), strict=True):
+            table[n, :, int(c) & 15] = known.get(int(c), (0, 0))
+        return X.end_odds(X.end_signs(some), table, leave_out)
+
+    limit = {}
+    for name in ("es", "pt"):
+        some = [t for k, (t, kind) in enumerate(ready) if kind == X.OPEN and len(texts[k]) > 60 and name in ("pt", lang(k))]
+        chopped = [t[: X.place_of_cut(t)] for t in some]
+        assert len(some) > 400 and all(len(t) // 2 <= len(c) < len(t) - 2 for t, c in zip(some, chopped, strict=True))
+        whole, broken = odds(some, True), odds(chopped, False)
+        grid = np.arange(-9.0, -2.0, 0.1)
+        limit[name] = grid[int(np.argmin([(broken > x).mean() + 8 * (whole <= x).mean() for x in grid]))]
+    ends_like = {k: v for k, v in enumerate(odds([t for t, _ in ready], True)) if ready[k][1] == X.OPEN}
+    assert len(got) == len(texts) and all(got[k].indicio <= v + 1e-9 for k, v in ends_like.items())  # a suspicious length only lowers the odds
+    assert all(got[k].cortado == (got[k].indicio < limit[lang(k)]) for k in ends_like)
+    assert 10 <= sum(r.cortado for r in got.values()) <= 50
+
+
 def test_residue_frame(spark):
     e = spark.createDataFrame([(1, RESIDUE[0]), (2, None), (3, REAL[0]), (4, RESIDUE[0])], "id long, cita_textual string").withColumn("tabla", F.lit("x"))
     p = spark.createDataFrame([(1, "Blog\nAcceso denegado."), (2, "")], "id long, discurso_corporativo string")
