@@ -116,6 +116,38 @@ def test_margin_is_validated_on_other_records(spark, monkeypatch):
     assert model.margin >= 2.0 and E.train(df.limit(0), "t").margin >= 2.0
 
 
+def test_model_and_margin_come_from_all_records(spark, monkeypatch):
+    monkeypatch.setattr(E, "VALIDATION_ROWS", 40)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgimnoprstuáéíóúñãõçêÁÉÍ") for _ in range(rng.randint(2, 6)))
+    texts = [f"{word()} {word()} {word()}" for _ in range(1_500)]
+    texts += texts[:20] + ["segÃºn JosÃ©", None, "", "plain"]
+    e = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, cita_textual string").repartition(3)
+    p = spark.createDataFrame([(1, "Página\nlimpia"), (2, None)], "id long, discurso_corporativo string")
+    used, repair_texts = [], E.repair_texts
+    monkeypatch.setattr(E, "repair_texts", lambda df, i, t, model: used.append(model) or repair_texts(df, i, t, model))
+    E.p6_found(e, p)
+    clean = [t for t in [*texts, "Página\nlimpia"] if t is not None and not E.SUSPICIOUS.search(t)]
+    assert len(clean) > 500 and used[0].logp == E.CharModel(E.trigram_counts([pd.Series(clean)])).logp
+
+    frame = spark.createDataFrame([(t,) for t in clean], "t string").select("t", F.pmod(F.xxhash64("t", F.lit(7)), F.lit(E.PARTS)).alias("k"))
+    part = {r.t: r.k for r in frame.collect()}
+    assert set(part.values()) == set(range(E.PARTS))
+    gains = []
+    for k in range(E.PARTS):
+        judge = E.CharModel(E.trigram_counts([pd.Series([t for t in clean if part[t] != k])]))
+        for t in clean:
+            if part[t] == k:
+                have = judge.score(t)
+                best = [judge.score(c) - have for c in E._chains(t, E._REREADS, E.CHAIN)]
+                for at, parts, left in E._tokens(t):
+                    have = judge.score(f"{left}{parts[at]} ")
+                    best += [judge.score(f"{left}{c} ") - have for c in E._chains(parts[at], E._STEPS, E.TOKEN_CHAIN)]
+                gains.append(max([0.0, *best]))
+    want = sorted([2.0, *gains])[-1 - int(0.001 * len(clean))] + 0.5
+    assert want > 2.5 and want - 1e-9 <= used[0].margin <= want + E.GAIN_STEP + 1e-9
+
+
 def test_repair_marks_loss():
     assert E.repair("present� su pol�tica de devoluciones")[2]
     assert not E.repair("el cierre de su l�")[2] and not E.repair("pidió una versi� […]")[2]
